@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, packing, quantiles
+from codeloom.llm import bpe, generated, packing, quantiles, syntax
 from codeloom.llm.sql import ORACLES
 from codeloom.sources.tables import current_rows, table
 
@@ -33,6 +33,28 @@ def p2_months(spark, d):
     return quantiles.read_percentiles(quantiles.merge_sketches(months, ["tool_name", "month"]))
 
 
+def p4_found(spark, d):
+    return syntax.check_syntax(table(spark, d, "files")).filter(~F.col("valid")).select("path")
+
+
+def p4_report(spark, d):
+    """Every broken file with the furthest place that fits no grammar, and why."""
+    return syntax.check_syntax(table(spark, d, "files")).filter(~F.col("valid"))
+
+
+def p4_rates(spark, d):
+    return syntax.rates(syntax.check_syntax(table(spark, d, "files")))
+
+
+def p5_found(spark, d):
+    return generated.classify(table(spark, d, "files")).filter("reason is not null").select("path")
+
+
+def p5_layout(spark, d):
+    """Every current file with its layout statistics and the reason why it isn't hand-written."""
+    return generated.classify(table(spark, d, "files"))
+
+
 def p8_ids(spark, d):
     return bpe.encode(table(spark, d, "documents"))
 
@@ -55,4 +77,4 @@ def p9_steps(spark, d):
     return packing.step_report(_packed(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_months, p8_ids, p9_pack, p9_fill, p9_steps)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_months, p4_found, p4_report, p4_rates, p5_found, p5_layout, p8_ids, p9_pack, p9_fill, p9_steps)}
