@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, generated, packing, quantiles, syntax
+from codeloom.llm import bpe, generated, language, packing, quantiles, syntax
 from codeloom.llm.sql import ORACLES
 from codeloom.sources.tables import current_rows, table
 
@@ -77,4 +77,13 @@ def p9_steps(spark, d):
     return packing.step_report(_packed(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_months, p4_found, p4_report, p4_rates, p5_found, p5_layout, p8_ids, p9_pack, p9_fill, p9_steps)}
+def p10_found(spark, d):
+    return language.mislabelled(language.segment(table(spark, d, "documents"))).select("doc_id", "lang")
+
+
+def p10_segments(spark, d):
+    """Every document's languages with sentences, confidence, size and place."""
+    return language.segment(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_months, p4_found, p4_report, p4_rates, p5_found, p5_layout, p8_ids, p9_pack, p9_fill, p9_steps, p10_found, p10_segments)}
