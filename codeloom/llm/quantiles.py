@@ -25,8 +25,8 @@ CHUNK = 200_000
 
 
 def rank_error(k: int = K) -> float:
-    """The stated bound (three standard errors) of a rank, relative to the number of values above it."""
-    return 3 * 0.1306 / k
+    """The stated bound (four standard errors) of a rank, relative to the number of values above it."""
+    return 4 * 0.1306 / k
 
 
 class Sketch:

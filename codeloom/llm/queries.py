@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, generated, language, packing, quantiles, syntax
+from codeloom.llm import bpe, functions, generated, language, packing, quantiles, syntax
 from codeloom.llm.sql import ORACLES
 from codeloom.sources.tables import current_rows, table
 
@@ -55,6 +55,20 @@ def p5_layout(spark, d):
     return generated.classify(table(spark, d, "files"))
 
 
+def p7_found(spark, d):
+    return functions.documented_functions(table(spark, d, "symbols")).select("symbol_id")
+
+
+def p7_pairs(spark, d):
+    """Code and description of documented functions, without the corpus's repeated templates."""
+    return functions.pairs(functions.documented_functions(table(spark, d, "symbols")))
+
+
+def p7_functions(spark, d):
+    """Functions extracted from the files themselves, broken ones included, with their documentation."""
+    return functions.functions_of_files(table(spark, d, "files"))
+
+
 def p8_ids(spark, d):
     return bpe.encode(table(spark, d, "documents"))
 
@@ -86,4 +100,4 @@ def p10_segments(spark, d):
     return language.segment(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_months, p4_found, p4_report, p4_rates, p5_found, p5_layout, p8_ids, p9_pack, p9_fill, p9_steps, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_months, p4_found, p4_report, p4_rates, p5_found, p5_layout, p7_found, p7_pairs, p7_functions, p8_ids, p9_pack, p9_fill, p9_steps, p10_found, p10_segments)}
