@@ -423,7 +423,6 @@ def mislabelled(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     Only languages with a full sentence count. Documents are told apart by key, so repeated rows of one key are one document.
     """
     full = segments.filter("full_sentences > 0").groupBy(key, "lang").agg(F.max("label_code").alias("code"), F.max("confidence").alias("confidence"))
-    # two numbers per document, folded before the shuffle
-    per = full.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("code") == F.col("lang")).alias("right"))
-    case = per.filter((F.col("n") > 1) | (F.col("right") == 0)).select("__k")
-    return full.join(case, F.col(key).eqNullSafe(F.col("__k")), "left_semi").select(key, "lang", "confidence")
+    # a document has at most as many rows here as there are languages
+    per = full.groupBy(key).agg(F.collect_list(F.struct("lang", "confidence")).alias("__all"), F.count(F.lit(1)).alias("__n"), F.count_if(F.col("code") == F.col("lang")).alias("__right"))
+    return per.filter((F.col("__n") > 1) | (F.col("__right") == 0)).select(key, F.inline("__all"))
