@@ -125,7 +125,7 @@ def match_routes(calls: DataFrame, handlers: DataFrame, least: float = 0.5) -> D
     fits = probe.join(h, (F.col("k") == F.col("kc")) & (F.col("head") == F.col("hc")))
     fits = fits.filter(F.forall(F.zip_with("parts", "segs", lambda a, b: b.rlike(param) | (a == b)), lambda x: x) & F.col("cv").isNotNull() & (F.col("verb").isNull() | (F.col("verb") == F.col("cv"))))
     best = fits.select("parts", "cv", F.col("confidence").alias("hconf"), "n", "handler")
-    hit = c.withColumn("cv", F.upper("verb")).join(best, ["parts", "cv"], "left").withColumn("conf", F.least("confidence", "hconf"))
+    hit = c.withColumn("cv", F.upper("verb")).join(best, ["parts", "cv"], "left").withColumn("conf", F.when(F.col("hconf").isNotNull(), F.least("confidence", "hconf")))
     per = hit.groupBy("id", "verb", "path").agg(F.max(F.struct("conf")).alias("m"), F.collect_list(F.struct("conf", "n", "handler")).alias("all"))
     tops = F.filter("all", lambda x: x["conf"] == F.col("m.conf"))
     count = F.aggregate(tops, F.lit(0).cast("long"), lambda a, x: a + x["n"])

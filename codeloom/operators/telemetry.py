@@ -14,7 +14,7 @@ def summary(calls: DataFrame, by: list[str]) -> DataFrame:
     """Calls, average duration, bytes and success per group; sums and counts combine partially, so summaries merge."""
     out = calls.groupBy(*by).agg(
         F.count(F.lit(1)).alias("calls"),
-        F.round(F.try_divide(F.sum(F.col("duration_ms").cast("decimal(24,6)")).cast("double"), F.count("duration_ms")), 4).alias("avg_ms"),
+        F.round(F.try_divide(F.sum(F.col("duration_ms").cast("decimal(24,6)")).cast("double"), F.count("duration_ms")), 9).alias("avg_ms"),
         F.coalesce(F.sum("source_bytes"), F.lit(0)).alias("source_bytes"),
         F.coalesce(F.sum("output_bytes"), F.lit(0)).alias("output_bytes"),
         F.count_if(F.col("success")).alias("succeeded"),

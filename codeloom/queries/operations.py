@@ -11,7 +11,7 @@ from codeloom.sources import catalogue as T
 from codeloom.sources.tables import table
 
 query = Area()
-_SUMMARY = "count(*)::BIGINT AS calls, round(sum(duration_ms::DECIMAL(24,6))::DOUBLE / count(duration_ms), 4) AS avg_ms, coalesce(sum(source_bytes), 0)::BIGINT AS source_bytes, coalesce(sum(output_bytes), 0)::BIGINT AS output_bytes, count(*) FILTER (success)::BIGINT AS succeeded, round(count(*) FILTER (success) / count(*), 6) AS success_rate"
+_SUMMARY = "count(*)::BIGINT AS calls, round(sum(duration_ms::DECIMAL(24,6))::DOUBLE / count(duration_ms), 9) AS avg_ms, coalesce(sum(source_bytes), 0)::BIGINT AS source_bytes, coalesce(sum(output_bytes), 0)::BIGINT AS output_bytes, count(*) FILTER (success)::BIGINT AS succeeded, round(count(*) FILTER (success) / count(*), 6) AS success_rate"
 _COLUMNS = ("workspace_id", "session_id", "tool_name", "duration_ms", "source_bytes", "output_bytes", "success")
 
 
@@ -107,7 +107,7 @@ def i03_i06_overflow(spark, d):
 
 @query("""WITH r AS (SELECT max(revision) AS r FROM file_snapshots), old AS (SELECT file_path, nullif(arg_max(coalesce(size, -1), last_indexed), -1) AS size FROM file_snapshots WHERE revision = (SELECT min(revision) FROM file_snapshots) GROUP BY 1),
  new AS (SELECT file_path, nullif(arg_max(coalesce(size, -1), last_indexed), -1) AS size FROM file_snapshots, r WHERE revision = r GROUP BY 1)
- SELECT coalesce(n.file_path, o.file_path) AS file_path, coalesce(n.size, o.size) AS size FROM old o FULL JOIN new n ON o.file_path = n.file_path""")
+ SELECT coalesce(n.file_path, o.file_path) AS file_path, CASE WHEN n.file_path IS NOT NULL THEN n.size ELSE o.size END AS size FROM old o FULL JOIN new n ON o.file_path = n.file_path""")
 def a09_k18_upsert(spark, d):
     from codeloom.sources.tables import current_rows
 

@@ -147,11 +147,11 @@ def f29_f30_hybrid_rrf(spark, d):
     return V.rrf(kw, sem, weights=(0.8, 0.8), by=("query",)).filter("rank <= 10")
 
 
-@query("SELECT id, round(reference_score * (1.0::DOUBLE + 0.3::DOUBLE * ln(1 + reference_score)), 6)::DOUBLE AS boosted, round((reference_score * CASE WHEN regexp_matches(file_path, '(^|/)(fixtures|fixture|Fixtures|Fixture|testdata|test_data|test-data|__fixtures__|snapshots|Snapshots|__snapshots__|benchmarks|Benchmarks|benchmark|Benchmark)(/|$)') THEN 0.7::DOUBLE WHEN regexp_matches(file_path, '@TEST@') THEN 0.85::DOUBLE WHEN regexp_matches(file_path, '(^|/)(docs|doc|documentation|Docs|Doc|Documentation)(/|$)') THEN 0.92::DOUBLE ELSE 1.08::DOUBLE END) * CASE WHEN language <> 'python' THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END, 6)::DOUBLE AS prior, CASE WHEN contains(signature, 'async') THEN round(reference_score * 1.5::DOUBLE, 6) ELSE round(reference_score, 6) END AS pattern FROM s WHERE reference_score IS NOT NULL")
+@query("SELECT id, round(reference_score * (1.0::DOUBLE + 0.3::DOUBLE * ln(1 + reference_score)), 9)::DOUBLE AS boosted, round((reference_score * CASE WHEN regexp_matches(file_path, '(^|/)(fixtures|fixture|Fixtures|Fixture|testdata|test_data|test-data|__fixtures__|snapshots|Snapshots|__snapshots__|benchmarks|Benchmarks|benchmark|Benchmark)(/|$)') THEN 0.7::DOUBLE WHEN regexp_matches(file_path, '@TEST@') THEN 0.85::DOUBLE WHEN regexp_matches(file_path, '(^|/)(docs|doc|documentation|Docs|Doc|Documentation)(/|$)') THEN 0.92::DOUBLE ELSE 1.08::DOUBLE END) * CASE WHEN language <> 'python' THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END, 9)::DOUBLE AS prior, CASE WHEN contains(signature, 'async') THEN round(reference_score * 1.5::DOUBLE, 9) ELSE round(reference_score, 9) END AS pattern FROM s WHERE reference_score IS NOT NULL")
 def f21_f24_score_stages(spark, d):
     s = T.symbols(spark, d, "reference_score", "file_path", "language", "signature").filter("reference_score is not null")
     r = F.col("reference_score")
-    return s.select("id", F.round(S.centrality_boost(r, r), 6).alias("boosted"), F.round(S.language_affinity(S.path_prior(r, F.col("file_path")), F.col("language"), "python"), 6).alias("prior"), F.round(S.pattern_boost(r, F.col("signature"), ["async"]), 6).alias("pattern"))
+    return s.select("id", F.round(S.centrality_boost(r, r), 9).alias("boosted"), F.round(S.language_affinity(S.path_prior(r, F.col("file_path")), F.col("language"), "python"), 9).alias("prior"), F.round(S.pattern_boost(r, F.col("signature"), ["async"]), 9).alias("pattern"))
 
 
 QUERIES, ORACLES = query.QUERIES, query.ORACLES
