@@ -8,6 +8,7 @@ from the top.
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.plans.cut import Workspace
+
 #: Section size: with it the standard error of a rank r of n is about 0.1306 / K * (n - r).
 K = 64
 SECTIONS = 3
@@ -184,6 +187,77 @@ def partial_sketches(df: DataFrame, keys: list[str], value: str, k: int = K) ->
     return rows.mapInPandas(run, schema)
 
 
+#: Values of a group beyond which its rows are split over several tasks.
+SPLIT = 100_000
+
+
+def group_sketches(df: DataFrame, keys: list[str], value: str, k: int = K) -> DataFrame:
+    """(keys, sketch) with one sketch per group, for fine groups such as days, of which there are very many.
+
+    Rows move once, sorted by group, and each group's values stream through one sketch. Groups with more than :data:`SPLIT`
+    values are few by their nature (at most rows / SPLIT, which bounds what is broadcast); their rows are dealt to
+    several tasks, whose sketches are then merged. Nulls and NaN are treated as in :func:`partial_sketches`.
+    """
+    ws = Workspace(df.sparkSession, "sketches")
+    rows = ws.cut(df.select(*keys, F.col(value).cast("double").alias("__value")).filter(F.col("__value").isNotNull() & ~F.isnan("__value")), "values")
+    types = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", __part int, sketch binary"
+    names = [f"__h{i}" for i in range(len(keys))]
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > SPLIT).select(*[F.col(c).alias(n) for c, n in zip(keys, names)], F.ceil(F.col("__n") / SPLIT).alias("__parts"))
+    on = F.lit(True)
+    for c, n in zip(keys, names):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    dealt = rows.join(F.broadcast(hot), on, "left").select(*keys, "__value", F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64("__value"), F.col("__parts")) + 1).otherwise(0).cast("int").alias("__part"))
+    group = [*keys, "__part"]
+
+    def run(batches):
+        open_key, open_sketch = None, None
+        small = 2 * SECTIONS * k
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            values = pdf["__value"].to_numpy(np.float64)
+            change = np.zeros(len(pdf), bool)
+            for c in group:
+                col = pdf[c].to_numpy()
+                blank = pd.isna(col)
+                change[1:] |= (col[1:] != col[:-1]) & ~(blank[1:] & blank[:-1]) if col.dtype == object else (col[1:] != col[:-1])
+                if col.dtype == object:
+                    change[1:] |= blank[1:] != blank[:-1]
+            edges = np.concatenate([[0], np.flatnonzero(change), [len(pdf)]])
+            heads = [pdf[c].to_numpy()[edges[:-1]] for c in group]
+            out = []
+            for g, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                key = tuple(None if pd.isna(h[g]) else h[g] for h in heads)
+                if key != open_key:
+                    if open_sketch is not None:
+                        out.append((*open_key, open_sketch.dump()))
+                    open_key, open_sketch = key, None
+                    if b - a < small and b < len(pdf):  # whole and small: its values are the sketch
+                        out.append((*key, _raw(values[a:b], k)))
+                        open_key = None
+                        continue
+                if open_sketch is None:
+                    open_sketch = Sketch(k)
+                open_sketch.add(values[a:b])
+            yield pd.DataFrame(out, columns=[*group, "sketch"])
+        if open_sketch is not None:
+            yield pd.DataFrame([(*open_key, open_sketch.dump())], columns=[*group, "sketch"])
+
+    made = dealt.repartition(*group).sortWithinPartitions(*group).mapInPandas(run, schema)
+    if not hot.limit(1).count():
+        return made.drop("__part")
+    made = ws.cut(made, "made")
+    whole = made.filter("__part = 0").drop("__part")
+    return whole.unionByName(merge_sketches(made.filter("__part > 0").drop("__part"), keys))
+
+
+def _raw(values: np.ndarray, k: int) -> bytes:
+    """What :meth:`Sketch.dump` gives for a sketch that has compacted nothing yet."""
+    n = len(values)
+    return struct.pack("<iqddi", k, n, values.min(), values.max(), 1) + struct.pack("<iqiib", n, 0, SECTIONS, k, 0) + values.astype("<f8").tobytes()
+
+
 def merge_sketches(df: DataFrame, keys: list[str], salts: int = 16) -> DataFrame:
     """(keys, sketch) with one sketch per group, from any number of partial ones.
 
@@ -226,20 +300,27 @@ def roll_up(df: DataFrame, keys: list[str], sets: dict[str, list[str]]) -> DataF
     return merge_sketches(rows, ["grouping", *keys])
 
 
-def read_percentiles(df: DataFrame, percentiles: dict[str, float] = PERCENTILES) -> DataFrame:
-    """The keys with n, min, the percentiles (nearest rank), max and rank_error (see :func:`rank_error`)."""
+def read_percentiles(df: DataFrame, percentiles: dict[str, float] = PERCENTILES, keep_sketch: bool = False) -> DataFrame:
+    """The keys with n, min, the percentiles (nearest rank), max and rank_error (see :func:`rank_error`; 0 where all values are kept)."""
     keys = [c for c in df.columns if c != "sketch"]
     types = dict(df.dtypes)
     names = list(percentiles)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", n long, " + ", ".join(f"`{c}` double" for c in ["min", *names, "max", "rank_error"])
+    more = ["sketch"] if keep_sketch else []
+    schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", n long, " + ", ".join(f"`{c}` double" for c in ["min", *names, "max", "rank_error"]) + ", sketch binary" * keep_sketch
+    qs = list(percentiles.values())
+    head, level = struct.calcsize("<iqddi"), struct.calcsize("<iqiib")
+
+    def one(data: bytes):
+        k, n, low, high, depth = struct.unpack_from("<iqddi", data)
+        if depth == 1:  # nothing was compacted: exact
+            values = np.sort(np.frombuffer(data, "<f8", n, head + level))
+            return (n, low, *[float(values[min(n, max(1, math.ceil(q * n - 1e-9))) - 1]) for q in qs], high, 0.0)
+        s = Sketch.load(data)
+        return (s.n, s.low, *s.quantiles(qs), s.high, rank_error(k))
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for data in pdf["sketch"]:
-                s = Sketch.load(data)
-                rows.append((s.n, s.low, *s.quantiles(list(percentiles.values())), s.high, rank_error(s.k) if len(s.levels) > 1 else 0.0))
-            got = pd.DataFrame(rows, columns=["n", "min", *names, "max", "rank_error"], index=pdf.index)
-            yield pd.concat([pdf[keys], got], axis=1)
+            got = pd.DataFrame([one(x) for x in pdf["sketch"]], columns=["n", "min", *names, "max", "rank_error"], index=pdf.index)
+            yield pd.concat([pdf[keys], got, pdf[more]], axis=1)
 
     return df.mapInPandas(run, schema)
