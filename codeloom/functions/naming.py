@@ -65,9 +65,10 @@ def name_match(name: Column, query: str) -> Column:
 
 def qualified(name: Column) -> tuple[Column, Column]:
     """(parent, leaf) at the rightmost ``::``, else the rightmost ``.``; parent is null for bare names."""
-    by = F.when(F.instr(name, "::") > 0, "::").when(F.instr(name, ".") > 0, ".")
-    leaf = F.substring_index(name, F.coalesce(by, F.lit(" ")), -1)
-    return F.when(by.isNotNull(), F.substring(name, F.lit(1), F.length(name) - F.length(leaf) - F.length(by))), leaf
+    colons, dot = F.instr(name, "::") > 0, F.instr(name, ".") > 0
+    part = lambda pattern, k: F.regexp_extract(name, pattern, k)
+    parent = F.when(colons, part(r"(?s)^(.*)::(.*)$", 1)).when(dot, part(r"(?s)^(.*)\.(.*)$", 1))
+    return parent, F.when(colons, part(r"(?s)^(.*)::(.*)$", 2)).when(dot, part(r"(?s)^(.*)\.(.*)$", 2)).otherwise(name)
 
 
 def drop_compounds(tokens: Column) -> Column:

@@ -75,9 +75,9 @@ def _place_core(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _core(batches):
-    pdf = pd.concat(list(batches), ignore_index=True) if batches else None
-    if pdf is not None and len(pdf):
-        yield _place_core(pdf)
+    got = [b for b in batches if len(b)]
+    if got:
+        yield _place_core(pd.concat(got, ignore_index=True))
 
 
 def _ring_minimum(ws: Workspace, ring: DataFrame) -> DataFrame:
@@ -166,9 +166,10 @@ def nested_sets(spark, nodes: DataFrame, core_rows: int = CORE_ROWS) -> DataFram
 
 def _ranges(batches):
     """Preorder positions of the remainder, parents before children."""
-    pdf = pd.concat(list(batches), ignore_index=True)
-    if not len(pdf):
+    got = [b for b in batches if len(b)]
+    if not got:
         return
+    pdf = pd.concat(got, ignore_index=True)
     parent = pd.Index(pdf["node"]).get_indexer(pdf["parent"])
     off = pdf["off"].fillna(0).to_numpy(np.int64)
     depth = pdf["depth"].to_numpy(np.int64)

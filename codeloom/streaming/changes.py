@@ -39,7 +39,7 @@ def merged(events: DataFrame) -> DataFrame:
 
 def debounced(events: DataFrame, seconds: int = 1, late: str = "10 minutes") -> DataFrame:
     """The first event of each path and burst; later ones within the window are dropped, state ends with the watermark."""
-    return events.withWatermark("ts", late).withColumn("burst", F.window("ts", f"{seconds} seconds")).dropDuplicatesWithinWatermark(["path", "change", "burst"]).drop("burst")
+    return events.withWatermark("ts", late).withColumn("burst", F.floor(F.unix_micros("ts") / (seconds * 1_000_000))).dropDuplicatesWithinWatermark(["path", "change", "burst"]).drop("burst")
 
 
 def windowed_counts(events: DataFrame, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
