@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of input (as the optimizer estimates it) a partition of a heavy step gets at most.
-PARTITION_BYTES = 32 << 20
+#: Bytes of stored input (compressed, as the sources report it) that a partition of a heavy step gets at most.
+PARTITION_BYTES = 16 << 20
+#: Sources of unknown size report more than this.
+UNKNOWN = 1 << 60
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """The size of what a plan reads: that of its leaves, as estimates of joins and unions multiply; 0 where no source knows."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < UNKNOWN)
 
 
 def partitions_for(df: DataFrame, partition_bytes: int = PARTITION_BYTES) -> int:
     """Three waves over the cluster's cores at least, more where the data need it."""
     spark = df.sparkSession
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(200_000, max(3 * spark.sparkContext.defaultParallelism, -(-estimate // partition_bytes))))
+    return int(min(200_000, max(3 * spark.sparkContext.defaultParallelism, -(-stored_bytes(df) // partition_bytes))))
 
 
 def spread(df: DataFrame, *key: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
