@@ -298,7 +298,7 @@ simpleN <~ exprsN (':=' exprsN / assignop exprsN / '++' / '--' / '<-' exprN)?
 exprsN <~ exprN (',' exprN)*
 assignop <~ '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '&^='
 ifs <- 'if' (simpleN? ';')? exprN block ('else' (ifs / block))?
-switch <- 'switch' ((simpleN? ';')? (ID ':=')? primaryN '.' '(' 'type' ')' / (simpleN? ';')? exprN? / typeguard) '{' ((('case' (expr / type) (',' (expr / type))*) / 'default') ':' stmts)* '}'
+switch <- 'switch' (typeguard &'{' / (simpleN? ';')? exprN? &'{') '{' ((('case' (expr / type) (',' (expr / type))*) / 'default') ':' stmts)* '}'
 typeguard <~ (simpleN? ';')? (ID ':=')? primaryN
 select <~ 'select' '{' ((('case' simple) / 'default') ':' stmts)* '}'
 for <- 'for' ((exprsN (':=' / '='))? 'range' exprN / simpleN? ';' exprN? ';' simpleN? / exprN?) block
