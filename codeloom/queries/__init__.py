@@ -1,5 +1,5 @@
 """The queries of the driver contract and their SQL, by area."""
 
-from codeloom.queries import catalog, integrity, operations, relations, retrieval
+from codeloom.queries import analyses, catalog, integrity, operations, relations, retrieval
 
-AREAS = (catalog, relations, retrieval, operations, integrity)
+AREAS = (catalog, relations, retrieval, operations, analyses, integrity)
