@@ -17,7 +17,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Words whose ids a worker keeps; then it starts afresh (long words aren't kept).
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 CACHE_BYTES = 64
 NONE = 1 << 60
 
@@ -48,7 +48,7 @@ class Encoder:
         got = self.pairs.get((a, b))
         if got is None:
             got = self.rank.get(self.spelt[a] + self.spelt[b], NONE)
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             self.pairs[a, b] = got
         return got

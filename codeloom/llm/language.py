@@ -158,7 +158,7 @@ class Field:
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of words; those of a word are kept, as they don't depend on its neighbours."""
         cache = self.cache
-        if len(cache) > 300_000:
+        if len(cache) > 150_000:
             cache.clear()
         rows = []
         for w in words:

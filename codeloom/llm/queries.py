@@ -25,19 +25,28 @@ def p2_percentiles(spark, d):
     return quantiles.read_percentiles(quantiles.roll_up(fine, keys, sets))
 
 
-def p2_days(spark, d):
-    """The partial results that everything else can be combined from: per day, tool and workspace a sketch, with its percentiles."""
+def _days(spark, d):
     keys = ["day", "tool_name", "workspace_id"]
     calls = _calls(spark, d, "tool_name", "workspace_id", "duration_ms").withColumn("day", F.to_date("called_at"))
-    return quantiles.read_percentiles(quantiles.group_sketches(calls, keys, "duration_ms"), {"p50": 0.5, "p95": 0.95, "p99": 0.99}, keep_sketch=True)
+    return quantiles.group_sketches(calls, keys, "duration_ms")
+
+
+def p2_days(spark, d):
+    """Percentiles per day, tool and workspace, the finest partial results that there are."""
+    return quantiles.read_percentiles(_days(spark, d), {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+def p2_sketches(spark, d):
+    """The same with the sketches themselves, from which any coarser percentiles can be combined."""
+    return quantiles.read_percentiles(_days(spark, d), {"p50": 0.5, "p95": 0.95, "p99": 0.99}, keep_sketch=True)
 
 
-def p2_months(spark, d):
-    """Percentiles of duration_ms by tool and month, combined from one sketch per tool and day."""
+def p2_weeks(spark, d):
+    """Percentiles of duration_ms by tool and week, combined from one sketch per tool and day."""
     calls = _calls(spark, d, "tool_name", "duration_ms").withColumn("day", F.to_date("called_at"))
     days = quantiles.group_sketches(calls, ["tool_name", "day"], "duration_ms")
-    months = days.select("tool_name", F.date_format("day", "yyyy-MM").alias("month"), "sketch")
-    return quantiles.read_percentiles(quantiles.merge_sketches(months, ["tool_name", "month"]))
+    weeks = days.select("tool_name", F.to_date(F.date_trunc("week", "day")).alias("week"), "sketch")
+    return quantiles.read_percentiles(quantiles.merge_sketches(weeks, ["tool_name", "week"]))
 
 
 def p4_found(spark, d):
@@ -107,4 +116,4 @@ def p10_segments(spark, d):
     return language.segment(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_days, p2_percentiles, p2_months, p4_found, p4_report, p4_rates, p5_found, p5_layout, p7_found, p7_pairs, p7_functions, p8_ids, p9_pack, p9_fill, p9_steps, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p2_days, p2_sketches, p2_percentiles, p2_weeks, p4_found, p4_report, p4_rates, p5_found, p5_layout, p7_found, p7_pairs, p7_functions, p8_ids, p9_pack, p9_fill, p9_steps, p10_found, p10_segments)}

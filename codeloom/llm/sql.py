@@ -1,3 +1,20 @@
-"""SQL for the queries of this subpackage that SQL can express."""
+"""SQL for the queries of this subpackage that SQL can express.
 
-ORACLES: dict[str, str] = {}
+Percentiles are exact as long as no group is large enough for its sketch to compact, which holds for days and weeks of
+the small test data; larger groups are within the stated error and tested against brute force.
+"""
+
+_CALLS = "(SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY called_at DESC) AS rn FROM tool_calls) WHERE rn = 1 AND duration_ms IS NOT NULL)"
+_NTH = "list_sort(list(duration_ms))[greatest(1, ceil({0} * count(*) - 1e-9))::INT] AS {1}"
+
+
+def _percentiles(**names: float) -> str:
+    return ", ".join(_NTH.format(q, n) for n, q in names.items())
+
+
+_ENDS = "count(*)::BIGINT AS n, min(duration_ms) AS min, max(duration_ms) AS max, 0.0::DOUBLE AS rank_error"
+
+ORACLES: dict[str, str] = {
+    "p2_days": f"SELECT called_at::DATE AS day, tool_name, workspace_id, {_ENDS}, {_percentiles(p50=0.5, p95=0.95, p99=0.99)} FROM {_CALLS} GROUP BY ALL",
+    "p2_weeks": f"SELECT tool_name, date_trunc('week', called_at)::DATE AS week, {_ENDS}, {_percentiles(p50=0.5, p75=0.75, p90=0.9, p95=0.95, p99=0.99, p999=0.999)} FROM {_CALLS} GROUP BY ALL",
+}
