@@ -109,7 +109,6 @@ def nested_sets(spark, nodes: DataFrame, core_rows: int = CORE_ROWS) -> DataFram
     """
     ws = Workspace(spark, "hierarchy")
     state = ws.cut(nodes.select("tree", "node", "parent", F.lit(1).cast("long").alias("size")), "nodes")
-    everything = state
     peeled: list[DataFrame] = []
     left = state.count()
     stuck = False
@@ -117,6 +116,7 @@ def nested_sets(spark, nodes: DataFrame, core_rows: int = CORE_ROWS) -> DataFram
         # a child's contribution is combined before the shuffle, so a hot parent is one row per task
         below = state.filter(F.col("parent").isNotNull()).groupBy("parent").agg(F.count(F.lit(1)).alias("__kids")).withColumnRenamed("parent", "__p")
         marked = ws.cut(state.join(below, state.node == below["__p"], "left").select("tree", "node", "parent", "size", F.col("__p").isNull().alias("leaf")), "marked")
+        ws.drop(state)  # its rows stand in the marked table from here on
         leaves = marked.filter("leaf").select("tree", "node", "parent", "size")
         sums = leaves.filter(F.col("parent").isNotNull()).groupBy("parent").agg(F.sum("size").alias("__add")).withColumnRenamed("parent", "__p")
         rest = marked.filter("not leaf")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.naming import compact
 from codeloom.functions.paths import basename
+from codeloom.plans.cut import Workspace
 
 K1, B = 1.2, 0.75
 # Field boosts and group weights of the unified sweep.
@@ -220,9 +221,11 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], queries: list[Quer
     wanted = F.array(*[F.lit(t) for t in sorted({t[1] for t in terms})])
     each = [F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("toks")) for f in fields]
     rows = docs.select(key, F.explode(F.array(*each)).alias("x")).select(key, "x.field", "x.toks", F.size("x.toks").alias("len"))
-    rows = rows.withColumn("len", F.greatest(F.col("len"), F.lit(0)))
+    # one pass over the texts: lengths and the wanted tokens are all that later steps read
+    rows = rows.select(key, "field", F.greatest(F.col("len"), F.lit(0)).alias("len"), F.filter("toks", lambda t: F.array_contains(wanted, t)).alias("toks"))
+    rows = Workspace(spark, "bm25").cut(rows, "lengths")
     stats = rows.groupBy("field").agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg"))
-    post = rows.filter(F.arrays_overlap("toks", wanted)).select(key, "field", "len", F.explode(F.filter("toks", lambda t: F.array_contains(wanted, t))).alias("term")).groupBy(key, "field", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    post = rows.filter(F.size("toks") > 0).select(key, "field", "len", F.explode("toks").alias("term")).groupBy(key, "field", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
     df = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     need = {qi: len(q.terms) for qi, q in enumerate(queries)}
     qt = spark.createDataFrame([(qi, t, g == "original", float(w), need[qi]) for qi, t, g, w in terms], "query int, term string, original boolean, weight double, need int")
