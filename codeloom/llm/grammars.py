@@ -398,7 +398,7 @@ trailer <~ '?' / '.' ('await' / NUM / ID ('::' gargs)? ('(' args ')')?) / '(' ar
 args <~ (attr* expr (',' attr* expr)*)? ','?
 """
 _RUST_TOKENS = " / ".join(f"'{t}'" for t in sorted((lexers.RUST_WORDS | frozenset("; , . .. ... ..= :: : -> => = == != ! + += - -= * *= / /= % %= & && &= | || |= ^ ^= < <= <<= > >= >>= ? @ # $ ~ _".split()))))
-RUST = RUST.replace("{full}", _RUST_EXPRESSIONS.replace("X", "").replace("/ path\n", "/ structlit\n")).replace("{bare}", _RUST_EXPRESSIONS.replace("X", "N"))
+RUST = RUST.replace("{full}", _RUST_EXPRESSIONS.replace("X", "").replace("/ path\n", "/ structlit\n")).replace("{bare}", _RUST_EXPRESSIONS.replace("('..' / '..=') binaryX?", "('..' / '..=') (!'{' binaryX)?").replace("X", "N"))
 RUST = RUST.replace("pathX_ <~", "structlit <~").replace("pathx <- path_\n", "") + f"ttoken <~ ID / NUM / STR / CHR / LIFE / {_RUST_TOKENS}\n"
 
 TEXTS = {"json": JSON, "toml": TOML, "python": PYTHON, "javascript": JAVASCRIPT, "typescript": TYPESCRIPT, "java": JAVA, "go": GO, "rust": RUST}

@@ -76,7 +76,7 @@ VALID = {
     "typescript": ["type A<T extends B = C> = T extends (infer U)[] ? U : never", "function f(this: X, a?: number, ...b: string[]): a is Y { return <any>a! as unknown as Z }", "abstract class A<T> extends B<T> implements C, D { private readonly x?: Map<string, Array<T>>; constructor(public a: string) { super() } get y(): number { return 1 } abstract z(): void }", "enum E { A = 1, B }\ndeclare module 'x' { export const y: number }\nlet v: { [k: string]: number; m?(): void } = {}", "const g = <T,>(x: T): x is T => f<T>(x) < 3"],
     "java": ["package a.b; import static c.D.*; @X(y = {1, 2}) public final class A<T extends B & C> extends D<T> implements E { int[] x = {1, 2}; A() { this(1); } <U> U f(final U... u) throws G { return (U) h.<V>i(j::k, L[]::new, (m, n) -> m + n); } }", "record P(int x, int y) { P { if (x < 0) throw new E(); } } sealed interface S permits P {} enum Q { A(1) { void f() {} }, B; }", "class A { void f() { for (var x : y) { switch (z) { case 1, 2 -> a(); default -> { } } } try (var r = s()) { } catch (B | C e) { } String t = \"\"\"\n a\"\"\"; if (o instanceof B b && b.c) d: while (true) break d; } }"],
     "go": ["package a\nimport (\n\t\"b\"\n\t. \"c\"\n)\ntype T[K comparable, V any] struct {\n\t*E\n\tm map[K][]V `json:\"x\"`\n}\nfunc (t *T[K, V]) F(a, b int, c ...string) (x int, err error) {\n\tif v, ok := t.m[k]; ok && v == (T{}) {\n\t\treturn\n\t}\n\tfor i := range []int{1, 2} {\n\t\tselect {\n\t\tcase <-c:\n\t\tdefault:\n\t\t}\n\t}\n\tswitch y := x.(type) {\n\tcase *T, nil:\n\t}\n\tgo func() {}()\n\treturn x, nil\n}\n"],
-    "rust": ["#![a]\nuse a::{b, c::*, d as e};\npub(crate) async unsafe fn f<'a, T: B + 'a, const N: usize>(&'a mut self, (x, y): (u8, u8)) -> Result<Vec<Vec<T>>, E> where T: C<D = E> { let Some(z) = g()? else { return Err(h!(\"{}\", 1)) }; match z { 1 | 2..=9 if x => {} A { b, .. } => c, _ => {} } if a < b { S { x: 1, ..d } } else { x as u8 } }", "impl<T> A for B<T> { type C = D; const E: &'static str = r#\"a\"b\"#; } macro_rules! m { ($a:expr) => { $a + 1 }; }\nstruct U; enum V { A(u8), B { c: char } = 1 }"],
+    "rust": ["#![a]\nuse a::{b, c::*, d as e};\npub(crate) async unsafe fn f<'a, T: B + 'a, const N: usize>(&'a mut self, (x, y): (u8, u8)) -> Result<Vec<Vec<T>>, E> where T: C<D = E> { let Some(z) = g()? else { return Err(h!(\"{}\", 1)) }; match z { 1 | 2..=9 if x => {} A { b, .. } => c, _ => {} } if a < b { S { x: 1, ..d } } else { x as u8 } }", "impl<T> A for B<T> { type C = D; const E: &'static str = r#\"a\"b\"#; } macro_rules! m { ($a:expr) => { $a + 1 }; }\nstruct U; enum V { A(u8), B { c: char } = 1 }", "fn f() { for i in 0.. { g(i) }\n unreachable!() }"],
     "json": ['{"a": [1, -2.5e3, true, null, "\\u00e9\\n"], "b": {}}', "1", "[]"],
     "toml": ["a = 1\n[b.c]\nd = [1, 2,\n 3] # x\n'q r' = 2024-01-01T00:00:00Z\n[[e]]\nf = { g = \"h\", i.j = 0x1F }\n", "", '"a".b = """x\ny"""'],
 }
