@@ -310,7 +310,7 @@ def vote(words: list[str]) -> list[float]:
     return out
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7, per_language: int = 1500) -> Field:
+def train(rows: list[tuple[str, str]], seed: int = 7, per_language: int = 1000) -> Field:
     """Fits the field on (text, language code) pairs, of which some are wrong or mixed.
 
     A sentence keeps its document's label only where lexicon and scripts speak for it at least as much as for any other language; one
@@ -346,9 +346,9 @@ def train(rows: list[tuple[str, str]], seed: int = 7, per_language: int = 1500)
         return kept
 
     field = Field().fit(even(first) + seeds, epochs=2, seed=seed)
-    pool = [pool[i] for i in rng.permutation(len(pool))[:40_000]]
+    pool = [pool[i] for i in rng.permutation(len(pool))[:25_000]]
     sure = [(words, LANGUAGES.index(lang)) for words, ((lang, mean),) in zip(pool, field.label([[w] for w in pool])) if mean > 0.8]
-    return Field().fit(even(sure) + seeds, epochs=3, seed=seed)
+    return Field().fit(even(sure) + seeds, epochs=2, seed=seed)
 
 
 def _code_column(label: Column) -> Column:
