@@ -181,3 +181,17 @@ def offset_row(df: DataFrame, order: list, fraction: float, value: str) -> DataF
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """Rows [offset, offset + limit) of a total order."""
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def symbol_lookup(symbols: DataFrame, name: str) -> DataFrame:
+    """Symbols of the full name, else of parent and leaf, else of the bare leaf: the first tier that holds any, in one plan.
+
+    Columns needed: id, name, parent_id.
+    """
+    leaf = name.split("::")[-1].split(".")[-1]
+    parent = name[: len(name) - len(leaf)].rstrip(":.").split("::")[-1].split(".")[-1]
+    owners = symbols.filter(F.col("name") == parent).select(F.col("id").alias("parent_id"), F.lit(True).alias("owned")).distinct()
+    rows = symbols.filter(F.col("name").isin(name, leaf)).join(owners, "parent_id", "left")
+    rows = rows.withColumn("tier", F.when(F.col("name") == name, 0).when(F.col("owned"), 1).otherwise(2))
+    least = rows.agg(F.min("tier").alias("least"))
+    return rows.crossJoin(F.broadcast(least)).filter("tier = least").drop("owned", "least")

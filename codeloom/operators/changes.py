@@ -58,3 +58,19 @@ def revision_log(changes: DataFrame) -> DataFrame:
 def needs_rescan(events: DataFrame, key: str, limit: int = 1000) -> DataFrame:
     """Keys whose queue overflows, so that a full comparison must repair them."""
     return events.groupBy(key).agg(F.count(F.lit(1)).alias("queued")).withColumn("rescan", F.col("queued") > limit)
+
+
+def due_repairs(repairs: DataFrame, now: int, min_age: int = 30, attempts: int = 10) -> DataFrame:
+    """Repairs (updated_at in unix seconds, attempts) that are old enough and were not tried too often."""
+    return repairs.filter((F.lit(now) - F.col("updated_at") >= min_age) & (F.coalesce("attempts", F.lit(0)) < attempts))
+
+
+def in_batches(df: DataFrame, embed, schema: str, size: int = 250) -> DataFrame:
+    """I16: a function from a pandas frame of at most ``size`` rows to one of ``schema``, over all rows."""
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), size):
+                yield embed(pdf.iloc[at:at + size])
+
+    return df.mapInPandas(run, schema)

@@ -130,3 +130,28 @@ def rewrite_span(text: str, start: int, end: int, body: str, operation: str = "r
     raw = text.encode()
     a, b, c = raw[:start].decode(), raw[start:end].decode(), raw[end:].decode()
     return {"replace": a + body + c, "insert_before": a + body + b + c, "insert_after": a + b + body + c, "delete": a + c}[operation]
+
+
+def smart_truncate(lines: list[str], most: int) -> str:
+    """Keeps declarations, returns and the first and last lines before others, in their order, marking gaps."""
+    if len(lines) <= most:
+        return "\n".join(lines)
+    key = re.compile(r"^\s*(?:pub|def|fn|func|class|struct|interface|impl|trait|enum|return|raise|throw|export|async)\b|[{}]\s*$")
+    order = sorted(range(len(lines)), key=lambda i: (i not in (0, len(lines) - 1), not key.search(lines[i]), i))
+    keep = sorted(order[:most])
+    out: list[str] = []
+    for n, i in enumerate(keep):
+        if n and i != keep[n - 1] + 1:
+            out.append("...")
+        out.append(lines[i])
+    return "\n".join(out)
+
+
+def inject_seeds(scores: dict[str, float], explicit: set[str], stack: set[str], in_files: set[str]) -> dict[str, float]:
+    """Symbols that a task names score at least 1 or the best score, those of its stack trace 0.75, those of its files 0.35; the larger score stays."""
+    top = max([1.0, *scores.values()])
+    out = dict(scores)
+    for ids, score in ((explicit, top), (stack, 0.75), (in_files, 0.35)):
+        for i in ids:
+            out[i] = max(out.get(i, 0.0), score)
+    return out

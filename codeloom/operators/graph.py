@@ -127,3 +127,26 @@ def owner_chain(sets_with_paths: DataFrame, names: DataFrame) -> DataFrame:
 def first_by(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     """At most n rows per group in a total order."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("__r") <= n).drop("__r")
+
+
+def endpoints(symbols: DataFrame, name: str, file_path: str | None = None, unique: bool = True) -> list[str]:
+    """Ids of the symbols of a name (in a file). A start must be unique: ValueError if it isn't, or if there is none."""
+    from codeloom.functions.paths import suffix_match
+
+    hit = symbols.filter(F.col("name") == name)
+    if file_path:
+        hit = hit.filter(suffix_match(F.col("file_path"), file_path))
+    ids = [r.id for r in hit.select("id").orderBy("id").limit(2 if unique else 1000).collect()]
+    if not ids or (unique and len(ids) > 1):
+        raise ValueError(f"{name!r} is {'ambiguous' if ids else 'unknown'}")
+    return ids
+
+
+def second_hop(edges: DataFrame, pivots: DataFrame, first: DataFrame, scores: DataFrame, tests: DataFrame, enough: int = 4, expand: int = 3) -> DataFrame:
+    """Neighbours of the three best first neighbours outside tests, if there are fewer than four such; first occurrences win."""
+    plain = first.join(tests.select("id"), "id", "left_anti")
+    if plain.limit(enough).count() >= enough:
+        return first
+    best = plain.join(scores, "id", "left").orderBy(F.desc_nulls_last("score"), "id").limit(expand).select("id")
+    more = neighbours(edges, best).join(first.select("id").unionByName(pivots.select("id")), "id", "left_anti")
+    return first.unionByName(more)

@@ -139,3 +139,26 @@ def changed_files(now: DataFrame, before: DataFrame, key: str = "path", value: s
     a, b = now.select(F.col(key).alias("a"), F.col(value).alias("av")), before.select(F.col(key).alias("b"), F.col(value).alias("bv"))
     j = a.join(b, F.col("a") == F.col("b"), "full_outer")
     return j.select(F.coalesce("a", "b").alias(key), F.when(F.col("b").isNull(), "new").when(F.col("a").isNull(), "deleted").when(F.col("av").eqNullSafe(F.col("bv")), "unchanged").otherwise("modified").alias("state"))
+
+
+def namespace_score(namespace: Column, module: Column) -> Column:
+    """500 if a namespace of the own crate is the candidate's module path, 450 for one of the standard library, 0 without a namespace, null (a veto) otherwise."""
+    tail = F.regexp_replace(namespace, "^(crate|std)::", "")
+    fits = (module == tail) | module.endswith(F.concat(F.lit("::"), tail))
+    return F.when(namespace.isNull() | (namespace == ""), 0).when(namespace.startswith("crate::") & fits, 500).when(namespace.startswith("std::") & fits, 450)
+
+
+def implementor_map(symbols: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
+    """Per trait or interface the first sorted distinct names of what implements or extends it; an unknown end stays as its id."""
+    t = symbols.filter(F.col("kind").isin("trait", "interface")).select(F.col("id").alias("to_id"))
+    names = symbols.select(F.col("id").alias("from_id"), "name")
+    hit = edges.filter(F.col("kind").isin("implements", "extends")).join(t, "to_id", "left_semi").join(names, "from_id", "left")
+    return hit.select("to_id", F.coalesce("name", "from_id").alias("n")).distinct().groupBy(F.col("to_id").alias("id")).agg(F.slice(F.array_sort(F.collect_set("n")), 1, most).alias("implementors"))
+
+
+def parent_context(candidates: DataFrame, uses: DataFrame) -> DataFrame:
+    """Whether the caller's file or scope (caller_file, caller_scope) mentions the name of a candidate's parent (parent_name)."""
+    by_file = uses.select(F.col("file_path").alias("caller_file"), F.col("name").alias("parent_name")).distinct().withColumn("in_file", F.lit(True))
+    by_scope = uses.select(F.col("containing_symbol_id").alias("caller_scope"), F.col("name").alias("parent_name")).distinct().withColumn("in_scope", F.lit(True))
+    out = candidates.join(by_file, ["caller_file", "parent_name"], "left").join(by_scope, ["caller_scope", "parent_name"], "left")
+    return out.withColumn("in_file", F.coalesce("in_file", F.lit(False))).withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))

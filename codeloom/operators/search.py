@@ -435,3 +435,29 @@ def exclude_tests(query: str, file_pattern: str | None = None, explicit: bool |
     return False if has_test_intent(query) else is_natural(query)
 
 
+
+
+def file_scores(files: DataFrame, query: str) -> DataFrame:
+    """files whose path holds all of a query's terms: exact path 40, exact name 25, 3 per term of the path."""
+    q = query.strip().lower()
+    path, name = F.lower("path"), F.lower(basename(F.col("path")))
+    toks = plain_tokens(F.col("path"))
+    terms = [t for t in dict.fromkeys(re.findall(r"\w+", q))]
+    hits = sum((F.when(F.array_contains(toks, t), 3.0).otherwise(0.0) for t in terms), F.lit(0.0))
+    out = files.withColumn("score", F.when(path == q, 40.0).otherwise(0.0) + F.when(name == q, 25.0).otherwise(0.0) + hits)
+    everything = F.lit(True)
+    for t in terms:
+        everything = everything & F.array_contains(toks, t)
+    return out.filter((everything & F.lit(bool(terms))) | (path == q) | (name == q))
+
+
+def rescued(scoped: DataFrame, unscoped: DataFrame) -> DataFrame:
+    """the hits within a scope, or all hits where it holds none, in one plan; ``rescued`` tells which."""
+    none = scoped.agg((F.count(F.lit(1)) == 0).alias("none"))
+    rest = unscoped.crossJoin(F.broadcast(none)).filter("none").drop("none").withColumn("rescued", F.lit(True))
+    return scoped.withColumn("rescued", F.lit(False)).unionByName(rest)
+
+
+def semantic_fallback(query: str, hits: int, scoped: bool, backend: str = "default") -> bool:
+    """only for the default backend, unscoped, without hits, and a query like an identifier."""
+    return hits == 0 and not scoped and backend == "default" and preprocess(query) == "symbol"
