@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from codeloom.sources.tables import current_rows
 
-#: Bytes of a text's head in which a banner may stand (licence blocks come before it).
-HEAD = 1500
 #: Characters of a run of letters and digits that no name is as long as, per line of encoded data.
 RUN = 60
 
@@ -68,12 +66,13 @@ NOTICES = (
     r"\bcop(y|ied)\s+(of|from)\s+(upstream\s+)?[\w.@/-]+\s+(release|version)?\s*v?\d+\.\d+",
     r"\bthis\s+file\s+is\s+part\s+of\s+[\w.@/-]+\s+v?\d+\.\d+",
     r"@license\s+[\w.@/-]+?[- ]v?\d+\.\d+",
-    r"^[/!*#\s]*[\w.@/-]+\s+v\d+\.\d+(\.\d+)?\s*$",
+    r"^[/!*# \t\x0B\f]*[\w.@/-]++\s++v\d+\.\d+(\.\d+)?\s*$",
     r"^/\*!\s*[\w.@/-]+\s+v?\d+\.\d+",
 )
 
 #: The comment lines at a text's start, behind a shebang or a package line.
-_LEAD = r"^(?:\x{FEFF})?(?:#![^\n]*\n)?((?:[ \t]*(?://[^\n]*|#(?!\[)[^\n]*|/\*(?:[^*]|\*(?!/))*\*/[ \t]*|--[^\n]*)?(?:\r?\n|$))*)"
+#: Possessive throughout, so that a long one takes neither stack nor backtracking.
+_LEAD = r"^(?:\x{FEFF})?(?:#![^\n]*+\n)?((?:[ \t]*+(?://[^\n]*+|#(?!\[)[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/[ \t]*+|--[^\n]*+)?+(?:\r?\n|$))*+)"
 
 
 def _share(c: Column, drop: str, n: Column) -> Column:
@@ -121,7 +120,7 @@ def classify(files: DataFrame, key: str = "path", content: str = "content", lang
 
     Reasons, the first that holds: lock (a lock file by name), minified (long lines with little white space), encoded (long runs of letters
     and digits make up the text), data (numeric literals make up the tokens), vendored (a library's folder, or its notice at the head), generated (a tool's
-    folder or file name, or its banner at the head). Texts in the middle of a file never count, so a file that
+    folder or file name, or its banner at the head). The head is the whole block of comments at the start, however long. Texts in the middle of a file never count, so a file that
     speaks of such things stays hand-written. Thresholds are :data:`TUNED` per language.
 
     Null or blank contents are judged by name alone; a null language gets the general thresholds; of repeated rows the
@@ -131,8 +130,7 @@ def classify(files: DataFrame, key: str = "path", content: str = "content", lang
     rows = current_rows(files, key, [*keep, language, content], version)
     lang = F.lower(F.trim(F.col(language)))
     rows = layout(rows, content)
-    head = F.substring(content, 1, HEAD)
-    lead = F.regexp_extract(head, _LEAD, 1)
+    lead = F.regexp_extract(content, _LEAD, 1)
     banner_lines = F.filter(F.split(lead, r"\r?\n"), lambda x: ~x.rlike(NOT_BANNERS))
     rows = rows.withColumn("__lead", F.array_join(banner_lines, "\n"))
     enough = F.col("chars") >= _limit(lang, "min_chars")

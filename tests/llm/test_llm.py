@@ -142,6 +142,20 @@ def test_generated_and_hand_written(spark):
     assert generated.classify(df.limit(0)).count() == 0
 
 
+def test_banners_around_long_licences(spark):
+    licence = "".join(f"Permission clause {i} of this licence holds for every copy of the work.\n" for i in range(75))
+    hashes = "".join(f"# {line}\n" for line in licence.splitlines())
+    slashes = "".join(f"// {line}\n" for line in licence.splitlines())
+    assert len(licence) > 5000
+    df = files(
+        spark,
+        ("a/behind.py", "python", hashes + "# @generated\nx = 1\n"), ("a/behind.ts", "typescript", slashes + "\n/* Code generated by x. DO NOT EDIT. */\nlet x = 1\n"), ("a/first.js", "javascript", "/*! quilib v1.2.3\n" + licence + "*/\nf()\n"), ("a/last.java", "java", "/*\n" + licence + " * @generated\n */\nclass A {}\n"),
+        ("a/top.go", "go", "/* Code generated by x. DO NOT EDIT.\n" + licence + "*/\npackage a\n"), ("a/hand.py", "python", hashes + "x = 1\n# @generated\n"), ("a/open.js", "javascript", "/* @generated\n" + licence), ("a/huge.js", "javascript", "/*\n" + " * * a\n" * 200_000 + "@generated */\nf()\n"), ("a/marks.py", "python", ("#" * 80 + "\n") * 20_000 + "x = 1\n"),
+    )
+    got = {r.path: r.reason for r in generated.classify(df).collect()}
+    assert got == {"a/behind.py": "generated", "a/behind.ts": "generated", "a/first.js": "vendored", "a/last.java": "generated", "a/top.go": "generated", "a/hand.py": None, "a/open.js": None, "a/huge.js": "generated", "a/marks.py": None}
+
+
 def test_layout_numbers(spark):
     r = generated.layout(spark.createDataFrame([("ab 1\r\n22\n",)], "content string")).first()
     assert (r.chars, r.lines, r.max_line, round(r.space_share, 4), round(r.number_density, 4)) == (9, 2, 4, 0.4444, 0.6667)
