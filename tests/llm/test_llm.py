@@ -156,6 +156,23 @@ def test_banners_around_long_licences(spark):
     assert got == {"a/behind.py": "generated", "a/behind.ts": "generated", "a/first.js": "vendored", "a/last.java": "generated", "a/top.go": "generated", "a/hand.py": None, "a/open.js": None, "a/huge.js": "generated", "a/marks.py": None}
 
 
+def test_tables_of_literals(spark):
+    rng = random.Random(3)
+    rows = lambda one, n=250: "".join("    " + ", ".join(one() for _ in range(8)) + ",\n" for _ in range(n))
+    decimals, signed = rows(lambda: f"{rng.random():.3f}"), rows(lambda: f"-{rng.random():.3f}")
+    powers = rows(lambda: f"{rng.random():.3f}e-{rng.randrange(9)}")
+    blob = "".join('    b"' + "".join(f"\\x{rng.randrange(256):02x}" for _ in range(16)) + '"\n' for _ in range(60))
+    settings = "".join(f"limit_{i} = {i}\nratio_{i} = -0.{i}\n" for i in range(40))
+    df = files(
+        spark,
+        ("a/d.py", "python", "W = [\n" + decimals + "]\n"), ("a/s.py", "python", "W = [\n" + signed + "]\n"), ("a/e.ts", "typescript", "const w = [\n" + powers + "]\n"), ("a/f.java", "java", "class A { float[] w = {\n" + decimals.replace(",", "f,") + "}; }\n"), ("a/x.py", "python", "B = (\n" + blob + ")\n"),
+        ("a/w.json", "json", "[\n" + decimals.rstrip(",\n") + "]\n"), ("a/m.json", "json", "{" + ",".join(f'"key{i}":"value{i}"' for i in range(90)) + "}"), ("a/w.toml", "toml", "w = [\n" + signed + "]\n"), ("a/c.toml", "toml", settings), ("a/c.json", "json", "{\n" + ",\n".join(f'  "limit_{i}": -0.{i}' for i in range(60)) + "\n}\n"), ("a/h.py", "python", "def f(a):\n    return a[1] - 0.5 * a[0] + 1e-3\n" * 20),
+    )
+    got = {r.path: (r.reason, r.number_density) for r in generated.classify(df).collect()}
+    assert {p: reason for p, (reason, _) in got.items()} == {"a/d.py": "data", "a/s.py": "data", "a/e.ts": "data", "a/f.java": "data", "a/x.py": "data", "a/w.json": "data", "a/m.json": "minified", "a/w.toml": "data", "a/c.toml": None, "a/c.json": None, "a/h.py": None}
+    assert all(0.49 < got[p][1] < 0.51 for p in ("a/d.py", "a/s.py", "a/e.ts", "a/f.java", "a/w.json"))
+
+
 def test_layout_numbers(spark):
     r = generated.layout(spark.createDataFrame([("ab 1\r\n22\n",)], "content string")).first()
     assert (r.chars, r.lines, r.max_line, round(r.space_share, 4), round(r.number_density, 4)) == (9, 2, 4, 0.4444, 0.6667)
