@@ -108,28 +108,9 @@ def _grammar(language: str) -> gll.Grammar:
     return gll.Grammar(text, _CLASSES[language], "func")
 
 
-def tolerant(language: str, text: str, tries: int = 200) -> lexers.Tokens:
-    """The tokens of a text, however broken: what is no token is blanked out and lexing starts again behind the last good line.
-
-    Each try blanks the rest of a line at least, and there are as many tries as needed up to a bound, beyond which the text behind is left out.
-    """
-    lex = getattr(lexers, language)
-    for _ in range(tries):
-        try:
-            return lex(text)
-        except lexers.NoToken as e:
-            end = text.find("\n", e.at)
-            end = len(text) if end < 0 else end
-            if e.cause in ("indentation", "unbalanced", "stray_character"):
-                end = e.at + 1 if e.cause != "indentation" else end
-            text = text[:e.at] + " " * (max(end, e.at + 1) - e.at) + text[max(end, e.at + 1):]
-            at = e.at
-    text = text[:at]
-    while True:
-        try:
-            return lex(text)
-        except lexers.NoToken as e:
-            text = text[:e.at]
+def tolerant(language: str, text: str) -> lexers.Tokens:
+    """The tokens of a text, however broken: what is no token is left out, and lexing goes on behind it, in one pass."""
+    return getattr(lexers, language)(text, recover=True)
 
 
 def _groups(kinds: list[str], python: bool) -> dict[str, dict[int, int]]:

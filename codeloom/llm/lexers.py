@@ -2,7 +2,7 @@
 
 Each lexer gives token kinds (keywords and punctuation as themselves, classes like ID, NUM, STR in capitals, EOF at
 the end), their start offsets and, for languages in which line ends matter, a flag for a token that starts a new line.
-What is no token at all raises :class:`NoToken`.
+What is no token at all raises :class:`NoToken`; lexers with ``recover`` leave it out and go on from there in the same pass.
 """
 
 from __future__ import annotations
@@ -59,6 +59,7 @@ _GO = re.compile(rf'''(?P<ws>[ \t\r\f\v\ufeff]+)|(?P<nl>\n)|(?P<com>//[^\n]*)|(?
 
 _RUST = re.compile(rf'''(?P<ws>\s+)|(?P<com>//[^\n]*)|(?P<block>/\*)|(?P<STR>[bc]?"[^"\\]*(?:\\[\s\S][^"\\]*)*"|[bc]?r(?P<h>\#*)"[\s\S]*?"(?P=h))|(?P<CHR>b?'(?:[^'\\\n\t\r]|\\(?:x[0-9a-fA-F]{{2}}|u\{{[0-9a-fA-F_]+\}}|[nrt0'"\\]))')|(?P<LIFE>'[^\W\d]\w*(?!'))|(?P<word>(?:r\#)?[^\W\d]\w*(?!["'])|[^\W\d]\w*(?=\s))|(?P<NUM>(?:0x[\da-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.(?![.\w])|\.\d[\d_]*)?(?:[eE][+-]?[\d_]+)?)(?:[iuf](?:8|16|32|64|128|size))?(?!\w))|(?P<op>{_punct("{ } ( ) [ ] ; , . .. ... ..= :: : -> => = == != ! + += - -= * *= / /= % %= & && &= | || |= ^ ^= < <= <<= > >= >>= ? @ # $ ~")})''')
 
+_PY_BLOCK = re.compile(r"[ \t\f]*(?:def|class|async[ \t]+def)[ \t]+[^\W\d]")
 _PY_PREFIX = r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?"
 _PY = re.compile(rf'''(?P<ws>[ \t\f]+|\\\r?\n|\ufeff)|(?P<nl>\r?\n|\r)|(?P<com>\#[^\n\r]*)|(?P<STR>{_PY_PREFIX}(?:"""[^"\\]*(?:(?:\\[\s\S]|"(?!""))[^"\\]*)*"""|\'\'\'[^'\\]*(?:(?:\\[\s\S]|'(?!''))[^'\\]*)*\'\'\'|"[^"\\\n\r]*(?:\\(?:\r\n|[\s\S])[^"\\\n\r]*)*"(?!"")|'[^'\\\n\r]*(?:\\(?:\r\n|[\s\S])[^'\\\n\r]*)*'(?!'')|""(?!")|\'\'(?!')))|(?P<word>[^\W\d]\w*)|(?P<NUM>(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?)(?!\w))|(?P<op>{_punct("( ) [ ] { } , : := . ... ; @ @= = == != + += - -= * *= ** **= / /= // //= % %= & &= | |= ^ ^= ~ < <= << <<= > >= >> >>= -> ->")})''')
 
@@ -73,6 +74,16 @@ def _unfit(text: str, at: int) -> NoToken:
     return NoToken(at, "stray_character")
 
 
+_LINE = re.compile(r"[^\r\n]*")
+
+
+def _behind(text: str, fault: NoToken) -> int:
+    """Where lexing goes on behind what is no token: at the next character, or at the end of the line."""
+    if fault.cause in ("unbalanced", "stray_character"):
+        return fault.at + 1
+    return max(fault.at + 1, _LINE.match(text, fault.at).end())
+
+
 def json(text: str) -> Tokens:
     out = Tokens()
     kinds, starts = out.kinds, out.starts
@@ -96,7 +107,7 @@ def json(text: str) -> Tokens:
     return out
 
 
-def _script(text: str, soft: frozenset[str]) -> Tokens:
+def _script(text: str, soft: frozenset[str], recover: bool) -> Tokens:
     out = Tokens()
     kinds, starts, breaks = out.kinds, out.starts, out.breaks
     at, n, fresh = 0, len(text), True
@@ -104,97 +115,119 @@ def _script(text: str, soft: frozenset[str]) -> Tokens:
     depth: list[int] = []  # open braces within each open template
     if text.startswith("#!"):
         at = (text.find("\n") + 1) or n
+    unclosed = False  # whether no comment ends any more
     while at < n:
-        m = match(text, at)
-        if m is None:
-            raise _unfit(text, at)
-        group, end = m.lastgroup, m.end()
-        if group == "ws":
-            at = end
-            continue
-        if group == "nl":
-            fresh, at = True, end
-            continue
-        if group == "com":
-            if "\n" in m.group():
-                fresh = True
-            at = end
-            continue
-        kind = m.group()
-        if group == "word":
-            if kind not in JS_WORDS and kind not in soft:
-                kind = "ID"
-        elif group == "STR" or group == "NUM":
-            kind = group
-        elif group == "priv":
-            kind = "PRIV"
-        elif group == "slash":
-            if not kinds or kinds[-1] not in _ENDED:
-                m = _JS_REGEX.match(text, at)
-                if m is None:
+        try:
+            if unclosed and text.startswith("/*", at):
+                raise NoToken(at, "open_comment")
+            m = match(text, at)
+            if m is None:
+                raise _unfit(text, at)
+            group, end = m.lastgroup, m.end()
+            if group == "ws":
+                at = end
+                continue
+            if group == "nl":
+                fresh, at = True, end
+                continue
+            if group == "com":
+                if "\n" in m.group():
+                    fresh = True
+                at = end
+                continue
+            kind = m.group()
+            if group == "word":
+                if kind not in JS_WORDS and kind not in soft:
+                    kind = "ID"
+            elif group == "STR" or group == "NUM":
+                kind = group
+            elif group == "priv":
+                kind = "PRIV"
+            elif group == "slash" and recover and text.startswith("/*", at):
+                raise NoToken(at, "open_comment")
+            elif group == "slash":
+                if not kinds or kinds[-1] not in _ENDED:
+                    m = _JS_REGEX.match(text, at)
+                    if m is None:
+                        raise NoToken(at, "open_string")
+                    kind, end = "REGEX", m.end()
+            elif group == "tick" or (kind == "}" and depth and depth[-1] == 0):
+                # a template, from its start or from behind a substitution
+                first = group == "tick"
+                stop = _TPL.match(text, at + 1).end()
+                if text.startswith("`", stop):
+                    kind, end = ("TPL" if first else "TTAIL"), stop + 1
+                    if not first:
+                        depth.pop()
+                elif text.startswith("${", stop):
+                    kind, end = ("THEAD" if first else "TMID"), stop + 2
+                    if first:
+                        depth.append(0)
+                else:
                     raise NoToken(at, "open_string")
-                kind, end = "REGEX", m.end()
-        elif group == "tick" or (kind == "}" and depth and depth[-1] == 0):
-            # a template, from its start or from behind a substitution
-            first = group == "tick"
-            stop = _TPL.match(text, at + 1).end()
-            if text.startswith("`", stop):
-                kind, end = ("TPL" if first else "TTAIL"), stop + 1
-                if not first:
-                    depth.pop()
-            elif text.startswith("${", stop):
-                kind, end = ("THEAD" if first else "TMID"), stop + 2
-                if first:
-                    depth.append(0)
-            else:
-                raise NoToken(at, "open_string")
-        elif depth and kind in "{}":
-            depth[-1] += 1 if kind == "{" else -1
-        kinds.append(kind)
-        starts.append(at)
-        breaks.append(fresh)
-        fresh = False
-        at = end
+            elif depth and kind in "{}":
+                depth[-1] += 1 if kind == "{" else -1
+            kinds.append(kind)
+            starts.append(at)
+            breaks.append(fresh)
+            fresh = False
+            at = end
+        except NoToken as e:
+            if not recover:
+                raise
+            unclosed |= e.cause == "open_comment"
+            if depth and text[e.at] == "}":
+                depth.pop()  # its template never ends
+            at = _behind(text, e)
     kinds.append("EOF")
     starts.append(n)
     breaks.append(True)
     return out
 
 
-def javascript(text: str) -> Tokens:
-    return _script(text, JS_SOFT)
+def javascript(text: str, recover: bool = False) -> Tokens:
+    return _script(text, JS_SOFT, recover)
 
 
-def typescript(text: str) -> Tokens:
-    return _script(text, JS_SOFT | TS_SOFT)
+def typescript(text: str, recover: bool = False) -> Tokens:
+    return _script(text, JS_SOFT | TS_SOFT, recover)
 
 
-def java(text: str) -> Tokens:
+def java(text: str, recover: bool = False) -> Tokens:
     out = Tokens()
     kinds, starts = out.kinds, out.starts
     at, n, match = 0, len(text), _JAVA.match
     if text.startswith("\ufeff"):
         at = 1
+    unclosed = False  # whether no comment ends any more
     while at < n:
-        m = match(text, at)
-        if m is None:
-            if text[at] == "\x1a" and at == n - 1:
-                break
-            raise _unfit(text, at)
-        group = m.lastgroup
-        if group != "ws" and group != "com":
-            kind = m.group()
-            if group == "word":
-                kind = kind if kind in JAVA_WORDS or kind in JAVA_SOFT else "ID"
-            elif group != "op":
-                kind = group
-                if m.group().startswith("/*"):
-                    raise _unfit(text, at)
-            elif kind == "/" and text.startswith("/*", at):
+        try:
+            if unclosed and text.startswith("/*", at):
                 raise NoToken(at, "open_comment")
-            kinds.append(kind)
-            starts.append(at)
-        at = m.end()
+            m = match(text, at)
+            if m is None:
+                if text[at] == "\x1a" and at == n - 1:
+                    break
+                raise _unfit(text, at)
+            group = m.lastgroup
+            if group != "ws" and group != "com":
+                kind = m.group()
+                if group == "word":
+                    kind = kind if kind in JAVA_WORDS or kind in JAVA_SOFT else "ID"
+                elif group != "op":
+                    kind = group
+                    if m.group().startswith("/*"):
+                        raise _unfit(text, at)
+                elif kind == "/" and text.startswith("/*", at):
+                    raise NoToken(at, "open_comment")
+                kinds.append(kind)
+                starts.append(at)
+            at = m.end()
+        except NoToken as e:
+            if not recover:
+                raise
+            unclosed |= e.cause == "open_comment"
+            at = _behind(text, e)
     kinds.append("EOF")
     starts.append(n)
     return out
@@ -203,31 +236,40 @@ def java(text: str) -> Tokens:
 _GO_END = frozenset("ID NUM STR CHR break continue fallthrough return ++ -- ) ] }".split())
 
 
-def go(text: str) -> Tokens:
+def go(text: str, recover: bool = False) -> Tokens:
     """With the semicolons that Go adds at line ends."""
     out = Tokens()
     kinds, starts = out.kinds, out.starts
     at, n, match = 0, len(text), _GO.match
+    unclosed = False  # whether no comment ends any more
     while at < n:
-        m = match(text, at)
-        if m is None:
-            raise _unfit(text, at)
-        group, end = m.lastgroup, m.end()
-        if group == "nl" or (group == "block" and "\n" in m.group()):
-            if kinds and kinds[-1] in _GO_END:
-                kinds.append(";")
-                starts.append(at)
-        elif group not in ("ws", "com", "block"):
-            kind = m.group()
-            if group == "word":
-                kind = kind if kind in GO_WORDS else "ID"
-            elif group != "op":
-                kind = group
-            elif kind == "/" and text.startswith("/*", at):
+        try:
+            if unclosed and text.startswith("/*", at):
                 raise NoToken(at, "open_comment")
-            kinds.append(kind)
-            starts.append(at)
-        at = end
+            m = match(text, at)
+            if m is None:
+                raise _unfit(text, at)
+            group, end = m.lastgroup, m.end()
+            if group == "nl" or (group == "block" and "\n" in m.group()):
+                if kinds and kinds[-1] in _GO_END:
+                    kinds.append(";")
+                    starts.append(at)
+            elif group not in ("ws", "com", "block"):
+                kind = m.group()
+                if group == "word":
+                    kind = kind if kind in GO_WORDS else "ID"
+                elif group != "op":
+                    kind = group
+                elif kind == "/" and text.startswith("/*", at):
+                    raise NoToken(at, "open_comment")
+                kinds.append(kind)
+                starts.append(at)
+            at = end
+        except NoToken as e:
+            if not recover:
+                raise
+            unclosed |= e.cause == "open_comment"
+            at = _behind(text, e)
     if kinds and kinds[-1] in _GO_END:
         kinds.append(";")
         starts.append(n)
@@ -239,7 +281,18 @@ def go(text: str) -> Tokens:
 _RUST_NEST = re.compile(r"/\*|\*/")
 
 
-def rust(text: str) -> Tokens:
+def _rust_comments(text: str, at: int) -> dict[int, int]:
+    """The end of each nested comment from a position on, by start; open ones are left out."""
+    out, stack = {}, []
+    for m in _RUST_NEST.finditer(text, at):
+        if m.group() == "/*":
+            stack.append(m.start())
+        elif stack:
+            out[stack.pop()] = m.end()
+    return out
+
+
+def rust(text: str, recover: bool = False) -> Tokens:
     out = Tokens()
     kinds, starts = out.kinds, out.starts
     at, n, match = 0, len(text), _RUST.match
@@ -247,34 +300,47 @@ def rust(text: str) -> Tokens:
         at = 1
     if text.startswith("#!", at) and not text.startswith("#![", at):
         at = (text.find("\n") + 1) or n
+    closers, nested = None, 0  # ends of the comments behind the first open one
     while at < n:
-        m = match(text, at)
-        if m is None:
-            raise _unfit(text, at)
-        group, end = m.lastgroup, m.end()
-        if group == "block":
-            level = 1
-            while level:
-                m = _RUST_NEST.search(text, end)
-                if m is None:
-                    raise NoToken(at, "open_comment")
-                level += 1 if m.group() == "/*" else -1
-                end = m.end()
-        elif group != "ws" and group != "com":
-            kind = m.group()
-            if group == "word":
-                kind = kind if kind in RUST_WORDS else "_" if kind == "_" else "ID"
-            elif group != "op":
-                kind = "STR" if group == "h" else group
-            kinds.append(kind)
-            starts.append(at)
-        at = end
+        try:
+            m = match(text, at)
+            if m is None:
+                raise _unfit(text, at)
+            group, end = m.lastgroup, m.end()
+            if group == "block":
+                if closers is not None and at >= nested:
+                    end = closers.get(at, -1)
+                    if end < 0:
+                        raise NoToken(at, "open_comment")
+                    at = end
+                    continue
+                level = 1
+                while level:
+                    m = _RUST_NEST.search(text, end)
+                    if m is None:
+                        nested, closers = at, _rust_comments(text, at) if recover else None
+                        raise NoToken(at, "open_comment")
+                    level += 1 if m.group() == "/*" else -1
+                    end = m.end()
+            elif group != "ws" and group != "com":
+                kind = m.group()
+                if group == "word":
+                    kind = kind if kind in RUST_WORDS else "_" if kind == "_" else "ID"
+                elif group != "op":
+                    kind = "STR" if group == "h" else group
+                kinds.append(kind)
+                starts.append(at)
+            at = end
+        except NoToken as e:
+            if not recover:
+                raise
+            at = _behind(text, e)
     kinds.append("EOF")
     starts.append(n)
     return out
 
 
-def python(text: str) -> Tokens:
+def python(text: str, recover: bool = False) -> Tokens:
     """With NL at the end of each logical line, INDENT and DEDENT."""
     out = Tokens()
     kinds, starts = out.kinds, out.starts
@@ -284,63 +350,76 @@ def python(text: str) -> Tokens:
         at = 1
     pairs = {")": "(", "]": "[", "}": "{"}
     while at < n:
-        if line_start and not open_brackets:
-            col = alt = 0
-            begin = at
-            while at < n and text[at] in " \t\f":
-                c = text[at]
-                col = (col // 8 + 1) * 8 if c == "\t" else 0 if c == "\f" else col + 1
-                alt = 0 if c == "\f" else alt + 1
-                at += 1
-            if at >= n:
-                break
-            if text[at] not in "\n\r#\\":
-                if col > levels[-1][0]:
-                    if alt <= levels[-1][1]:
-                        raise NoToken(at, "indentation")
-                    levels.append((col, alt))
-                    kinds.append("INDENT")
-                    starts.append(at)
-                else:
-                    while col < levels[-1][0]:
-                        levels.pop()
-                        kinds.append("DEDENT")
+        try:
+            if line_start and not open_brackets:
+                col = alt = 0
+                begin, held, known = at, levels, len(kinds)
+                while at < n and text[at] in " \t\f":
+                    c = text[at]
+                    col = (col // 8 + 1) * 8 if c == "\t" else 0 if c == "\f" else col + 1
+                    alt = 0 if c == "\f" else alt + 1
+                    at += 1
+                if at >= n:
+                    break
+                if text[at] not in "\n\r#\\":
+                    if col > levels[-1][0]:
+                        if alt <= levels[-1][1]:
+                            raise NoToken(at, "indentation")
+                        levels.append((col, alt))
+                        kinds.append("INDENT")
                         starts.append(at)
-                    if (col, alt) != levels[-1]:
-                        raise NoToken(at, "indentation")
-            del begin
-            line_start = False
-        m = match(text, at)
-        if m is None:
-            raise _unfit(text, at)
-        group, end = m.lastgroup, m.end()
-        if group == "nl":
-            if not open_brackets:
-                if kinds and kinds[-1] not in ("NL", "DEDENT", "INDENT"):
-                    kinds.append("NL")
-                    starts.append(at)
-                line_start = True
-        elif group != "ws" and group != "com":
-            kind = m.group()
-            if group == "word":
-                kind = kind if kind in PY_WORDS or kind in PY_SOFT else "ID"
-            elif group == "op":
-                if kind in "([{":
-                    open_brackets.append(kind)
-                elif kind in ")]}":
-                    if not open_brackets or open_brackets.pop() != pairs[kind]:
-                        raise NoToken(at, "unbalanced")
-            else:
-                kind = group
-                if kind == "STR" and text[at] not in "\"'" and "f" in text[at:at + 2].lower():
-                    word = m.group()
-                    if word.count("{") != word.count("}"):
-                        end = _formatted(text, at)
-                        if end < 0:
-                            raise NoToken(at, "open_string")
-            kinds.append(kind)
-            starts.append(at)
-        at = end
+                    else:
+                        if col < levels[-1][0]:
+                            held = list(levels)
+                        while col < levels[-1][0]:
+                            levels.pop()
+                            kinds.append("DEDENT")
+                            starts.append(at)
+                        if (col, alt) != levels[-1]:
+                            raise NoToken(at, "indentation")
+                del begin
+                line_start = False
+            m = match(text, at)
+            if m is None:
+                raise _unfit(text, at)
+            group, end = m.lastgroup, m.end()
+            if group == "nl":
+                if recover and open_brackets and _PY_BLOCK.match(text, end):
+                    open_brackets.clear()  # no bracket holds such a line, so it was never closed
+                if not open_brackets:
+                    if kinds and kinds[-1] not in ("NL", "DEDENT", "INDENT"):
+                        kinds.append("NL")
+                        starts.append(at)
+                    line_start = True
+            elif group != "ws" and group != "com":
+                kind = m.group()
+                if group == "word":
+                    kind = kind if kind in PY_WORDS or kind in PY_SOFT else "ID"
+                elif group == "op":
+                    if kind in "([{":
+                        open_brackets.append(kind)
+                    elif kind in ")]}":
+                        if not open_brackets or open_brackets[-1] != pairs[kind]:
+                            raise NoToken(at, "unbalanced")
+                        open_brackets.pop()
+                else:
+                    kind = group
+                    if kind == "STR" and text[at] not in "\"'" and "f" in text[at:at + 2].lower():
+                        word = m.group()
+                        if word.count("{") != word.count("}"):
+                            end = _formatted(text, at)
+                            if end < 0:
+                                raise NoToken(at, "open_string")
+                kinds.append(kind)
+                starts.append(at)
+            at = end
+        except NoToken as e:
+            if not recover:
+                raise
+            if e.cause == "indentation":  # the line counts as blank
+                levels = held
+                del kinds[known:], starts[known:]
+            at = _behind(text, e)
     if open_brackets:
         kinds.append("EOF")  # the grammar finds the gap
         starts.append(n)

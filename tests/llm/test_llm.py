@@ -206,6 +206,23 @@ def test_functions_out_of_broken_files(lang):
     assert [(n, p) for _, _, n, p in functions.find_functions(lang, text)] == want
 
 
+BEHIND = {"python": "def last(a):\n    return a\n", "rust": ";fn last(a: u8) {}\n", "go": ";func last(a int) {}\n", "java": ";int last(int a) { return a; }\n", "javascript": ";function last(a) { return a }\n", "typescript": ";function last(a: T) { return a }\n"}
+
+
+@pytest.mark.parametrize("lang", BEHIND)
+@pytest.mark.parametrize("fault", ["\x01 \x02 \x03\n", "x = \"cut here\n", "a ) ] }\n", "/* open\n"])
+def test_functions_behind_thousands_of_faults(lang, fault):
+    text = fault * 3000 + BEHIND[lang]
+    assert [(n, p) for _, _, n, p in functions.find_functions(lang, text)][-1:] == [("last", ["a"])]
+
+
+def test_recovery_keeps_the_state_of_lines_and_templates():
+    text = "class C:\n    def f(self):\n        x = (1]\n      y = 2\n    def g(self):\n        pass\n"
+    assert [n for _, _, n, _ in functions.find_functions("python", text)] == ["f", "g"]
+    assert [n for _, _, n, _ in functions.find_functions("javascript", "function f() { x = `a${b} \n }\nfunction g() { }\n")][-1:] == ["g"]
+    assert [n for _, _, n, _ in functions.find_functions("rust", "/* a /* b */ open\nfn f() {}\n/* /* c */ */ fn g() {}\n")] == ["f", "g"]
+
+
 @pytest.mark.parametrize(
     ("doc", "more"),
     [
