@@ -155,6 +155,15 @@ def _groups(kinds: list[str], python: bool) -> dict[str, dict[int, int]]:
 
 
 _START = frozenset("; { } NL INDENT DEDENT".split())
+#: Tokens that introduce a function wherever they stand.
+_LEADS = frozenset("def fn func function".split())
+
+
+def _places(language: str, text: str, tokens: lexers.Tokens) -> list[int]:
+    """Where a declaration may start: behind what ends another and behind commas, at the first token of each line, at a leading keyword."""
+    kinds, at = tokens.kinds, tokens.starts
+    behind = _START | {","} | ({"]"} if language == "rust" else set())  # attributes end in ]
+    return [i for i, k in enumerate(kinds) if k != "EOF" and (i == 0 or kinds[i - 1] in behind or k in _LEADS or text.find("\n", at[i - 1], at[i]) >= 0 or text.find("\r", at[i - 1], at[i]) >= 0)]
 
 
 def find_functions(language: str, text: str) -> list[tuple[int, int, str, list[str]]]:
@@ -166,12 +175,11 @@ def find_functions(language: str, text: str) -> list[tuple[int, int, str, list[s
     tokens = tolerant(language, text)
     kinds = tokens.kinds
     parse = gll.Parse(_grammar(language), kinds, _groups(kinds, language == "python"))
-    starts = [0] + [i + 1 for i, k in enumerate(kinds[:-1]) if k in _START]
-    if language == "rust":  # attributes end in ]
-        starts += [i + 1 for i, k in enumerate(kinds[:-1]) if k == "]"]
+    starts = _places(language, text, tokens)
     parse.run(starts)
     found = []
     limits = tokens.starts
+    script = language in ("javascript", "typescript")
 
     def word(i: int) -> str:
         end = limits[i + 1] if i + 1 < len(limits) else len(text)
@@ -188,6 +196,8 @@ def find_functions(language: str, text: str) -> list[tuple[int, int, str, list[s
         names = [p for p in parts if p[0] == "fname"]
         if not names or names[0][1] in used:
             continue
+        if script and names[0][1] == s and kinds[end - 1] == ";" and ":" not in kinds[s:end]:
+            continue  # a call
         used.add(names[0][1])
         stop = limits[end - 1]
         if kinds[end - 1] in ("DEDENT", "NL", "EOF"):

@@ -206,6 +206,22 @@ def test_functions_out_of_broken_files(lang):
     assert [(n, p) for _, _, n, p in functions.find_functions(lang, text)] == want
 
 
+PLACES = {
+    "python": ("x = (1,\ndef f(a):\n    return a\n", ["f"]),
+    "rust": ("x = \"cut \" here\nfn a() {}\njunk pub fn b() {}\n", ["a", "b"]),
+    "go": ("package p\nx =\nfunc a() {}\nvar m = T{f: 1, g: func() {\n} +\nfunc b(x int) {}\n", ["a", "b"]),
+    "java": ("class A {\n int x = 1 +\n int f(int a) { return a; }\n", ["f"]),
+    "javascript": ("let o = { a() {}, b(q) {} }\n<% if lane %>\nexport function c(x) { d(x); }\nlet y = d(x)\nconst z = \n  d(y);\nfunction e() {}\nm.x = function g(p) {}\n", ["a", "b", "c", "e", "g"]),
+    "typescript": ("const note = \"cut here\nexport function f(a: T): U { return a }\nlet v = 1\nasync function g() {}\ninterface I { h(a: T): void; }\n", ["f", "g", "h"]),
+}
+
+
+@pytest.mark.parametrize("lang", PLACES)
+def test_functions_behind_anything(lang):
+    text, want = PLACES[lang]
+    assert [n for _, _, n, _ in functions.find_functions(lang, text)] == want
+
+
 BEHIND = {"python": "def last(a):\n    return a\n", "rust": ";fn last(a: u8) {}\n", "go": ";func last(a int) {}\n", "java": ";int last(int a) { return a; }\n", "javascript": ";function last(a) { return a }\n", "typescript": ";function last(a: T) { return a }\n"}
 
 
