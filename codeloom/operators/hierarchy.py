@@ -219,3 +219,20 @@ def descendants(sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     asked = sets.join(wanted.select(F.col("node").alias("__w")).distinct(), F.col("node") == F.col("__w")).select(F.col("node").alias("ancestor"), F.col("root").alias("__r"), F.col("lft").alias("__l"), F.col("rgt").alias("__g"))
     return sets.join(asked, (sets.root == asked["__r"]) & (sets.lft > asked["__l"]) & (sets.lft <= asked["__g"])).select("ancestor", "node", "depth")
+
+
+#: Positions of a range that are made at once, so that no range is one long array.
+BLOCK = 4096
+
+
+def all_descendants(sets: DataFrame) -> DataFrame:
+    """(tree, ancestor, node) for every node and each of its descendants, from the ranges.
+
+    Positions within a root are dense and unique, so a range is spelt out and each position meets its node by an equi join on (root, position):
+    the work is that of the pairs that come out, and neither a large root nor a node with very many children makes a hot task.
+    Nodes on and below cycles have no ranges and give no pairs.
+    """
+    wide = sets.filter(F.col("rgt") > F.col("lft")).select(F.col("node").alias("ancestor"), "root", F.col("rgt").alias("__last"), F.explode(F.sequence(F.col("lft") + 1, F.col("rgt"), F.lit(BLOCK).cast("long"))).alias("__first"))
+    spelt = wide.select("ancestor", F.col("root").alias("__r"), F.explode(F.sequence(F.col("__first"), F.least(F.col("__first") + (BLOCK - 1), F.col("__last")))).alias("__at"))
+    there = sets.filter(F.col("lft") > 0).select("tree", "root", "lft", "node")
+    return spelt.join(there, (F.col("__r") == there["root"]) & (F.col("__at") == there["lft"])).select("tree", "ancestor", "node")

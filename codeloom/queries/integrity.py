@@ -38,6 +38,17 @@ def p3_hierarchy(spark, d):
     return out.select(F.col("tree").alias("node_table"), hierarchy.bare(F.col("node")).alias("node_id"), hierarchy.bare(F.col("root")).alias("root_id"), "depth", "path", F.when(F.col("depth") >= 0, F.col("size") - 1).alias("descendants"))
 
 
+def p3_ranges(spark, d):
+    """Every node's preorder range: its descendants are the nodes of its root with lft in (lft, rgt], its ancestors those whose range holds its lft."""
+    return _sets(spark, d).select(F.col("tree").alias("node_table"), hierarchy.bare(F.col("node")).alias("node_id"), hierarchy.bare(F.col("root")).alias("root_id"), "depth", "lft", "rgt")
+
+
+def p3_descendants(spark, d):
+    """Every node with each of its descendants, by the ranges."""
+    pairs = hierarchy.all_descendants(_sets(spark, d))
+    return pairs.select(F.col("tree").alias("node_table"), hierarchy.bare(F.col("ancestor")).alias("ancestor_id"), hierarchy.bare(F.col("node")).alias("node_id"))
+
+
 def p3_cycles(spark, d):
     """Each cycle once: its smallest id, its length and the nodes that hang below it."""
     sets = _sets(spark, d).filter("depth < 0")
@@ -52,7 +63,7 @@ def p6_log_audit(spark, d):
     return snapshots.change_log_audit(table(spark, d, "file_snapshots"), table(spark, d, "revision_file_changes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_hierarchy, p3_cycles, p6_found, p6_log_audit)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_hierarchy, p3_ranges, p3_descendants, p3_cycles, p6_found, p6_log_audit)}
 
 _MONTH = "(year(to_timestamp({0}) AT TIME ZONE 'UTC') * 12 + month(to_timestamp({0}) AT TIME ZONE 'UTC') - 1)"
 
@@ -99,6 +110,7 @@ ORACLES = {
     "p3_hierarchy": f"""{_HIER}, anc AS (SELECT node_table, unnest(string_split(path, '/')) AS node_id FROM tree)
       SELECT p.*, CASE WHEN p.depth >= 0 THEN (SELECT count(*) FROM anc a WHERE a.node_table = p.node_table AND a.node_id = p.node_id)::BIGINT - 1 END AS descendants
       FROM (SELECT node_table, node_id, root_id, depth::INT AS depth, path FROM placed) p""",
+    "p3_descendants": f"""{_HIER} SELECT node_table, ancestor_id, node_id FROM (SELECT node_table, node_id, unnest(string_split(path, '/')) AS ancestor_id FROM tree) WHERE ancestor_id <> node_id""",
     "p3_cycles": f"""{_HIER} SELECT l.node_table, l.root_id, count(r.node_id)::BIGINT AS cycle_length, (count(*) - count(r.node_id))::BIGINT AS below
       FROM loop l LEFT JOIN ring r ON r.node_table = l.node_table AND r.node_id = l.node_id GROUP BY 1, 2""",
     "p6_found": f"WITH {_CHANGES} SELECT revision, workspace_id, file_path, change_kind FROM changes WHERE change_kind IS NOT NULL",

@@ -48,6 +48,30 @@ def test_against_walks(spark, name, core):
     assert got == _brute(CASES[name])
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_all_descendants_against_walks(spark, monkeypatch, block):
+    monkeypatch.setattr(h, "BLOCK", block)
+    rng = random.Random(5)
+    pairs = [("n0", None)] + [(f"n{i}", f"n{rng.randrange(i)}" if rng.random() < 0.9 else None) for i in range(1, 120)] + CASES["cycle with a tail"]
+    parent = dict(pairs)
+    looped = {"a", "b", "c", "t", "u"}
+    got = sorted((r.tree, r.ancestor[2:], r.node[2:]) for r in h.all_descendants(_sets(spark, pairs, core_rows=20)).collect())
+    assert got == sorted(("t", i, j) for i in parent for j in parent if i != j and not looped & {i, j} and _has(parent, j, i))
+    assert h.all_descendants(_sets(spark, [("r", None)])).count() == 0
+
+
+def test_p3_queries_give_ranges_and_descendants(spark):
+    from codeloom.queries import integrity as q
+
+    d = "/root/testdata/sf0.001"
+    rows = q.p3_ranges(spark, d).filter("depth >= 0").collect()
+    by: dict = {}
+    for r in rows:
+        by.setdefault((r.node_table, r.root_id), []).append(r)
+    want = sorted((a.node_table, a.node_id, b.node_id) for group in by.values() for a in group for b in group if a.lft < b.lft <= a.rgt)
+    assert want and want == sorted(map(tuple, q.p3_descendants(spark, d).collect()))
+
+
 def test_ranges_nest_and_sizes_add_up(spark):
     rng = random.Random(3)
     pairs = [("n0", None)] + [(f"n{i}", f"n{rng.randrange(i)}" if rng.random() < 0.95 else None) for i in range(1, 300)]
