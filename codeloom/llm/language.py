@@ -114,6 +114,101 @@ def sentences(text: str | None) -> list[tuple[str, list[str], bool]]:
     return found
 
 
+class _Placed:
+    """A text with the place that each of its characters has in the text it was made of."""
+
+    def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
+        self.text = text
+        self.start = np.arange(len(text)) if start is None else start
+        self.end = self.start + 1 if end is None else end
+
+    def __getitem__(self, span: slice) -> _Placed:
+        return _Placed(self.text[span], self.start[span], self.end[span])
+
+    def strip(self) -> _Placed:
+        left = len(self.text) - len(self.text.lstrip())
+        return self[left:max(left, len(self.text.rstrip()))]
+
+    def behind(self, text: str) -> _Placed:
+        """What is left of it once something was taken off its front."""
+        return self[len(self.text) - len(text):]
+
+    def sub(self, pattern: re.Pattern, new: str) -> _Placed:
+        parts, last = [], 0
+        for m in pattern.finditer(self.text):
+            parts += [self[last:m.start()], _Placed(new, np.zeros(len(new), np.int64))]
+            last = m.end()
+        return self if not parts else _Placed.join([*parts, self[last:]])
+
+    def composed(self) -> _Placed:
+        """In normal form C, each letter at the place of all its marks."""
+        if unicodedata.is_normalized("NFC", self.text):
+            return self
+        parts, at, n = [], 0, len(self.text)
+        while at < n:
+            stop = at + 1
+            while stop < n and (unicodedata.combining(c := self.text[stop]) or "\u1160" <= c <= "\u11ff" or len(unicodedata.normalize("NFC", self.text[stop - 1:stop + 1])) == 1):
+                stop += 1
+            new = unicodedata.normalize("NFC", self.text[at:stop])
+            parts.append(_Placed(new, np.full(len(new), self.start[at]), np.full(len(new), self.end[stop - 1])))
+            at = stop
+        return _Placed.join(parts)
+
+    @staticmethod
+    def join(parts: list[_Placed], between: str = "") -> _Placed:
+        if between:
+            space = _Placed(between, np.zeros(len(between), np.int64))
+            parts = [x for p in parts for x in (space, p)][1:]
+        return _Placed("".join(p.text for p in parts), np.concatenate([p.start for p in parts]), np.concatenate([p.end for p in parts]))
+
+
+_BREAK = re.compile("\r\n|[\r\u2028\x85]")
+
+
+def placed_words(text: str | None) -> list[list[tuple[str, int, int]]]:
+    """The words of :func:`sentences` with their start and end in the text as it was given."""
+    if not text or text.isspace():
+        return []
+    now = _Placed(text).sub(_BREAK, "\n")
+    if "```" in now.text or "~~~" in now.text:
+        now = now.sub(_FENCE, "\n\n")
+    if not now.text.isascii():
+        now = now.composed().sub(_INVISIBLE, "")
+    now = now.sub(_SPAN, " ").sub(_LINK, " ")
+    out, block = [], []
+
+    def close():
+        if block:
+            whole = _Placed.join(block, " ")
+            last = 0
+            for m in [*_END.finditer(whole.text), None]:
+                out.append(whole[last:m.start() if m else len(whole.text)])
+                last = m.end() if m else last
+            block.clear()
+
+    at = 0
+    for line in now.text.split("\n"):
+        here = now[at:at + len(line)]
+        at += len(line) + 1
+        bare = _MARK.sub("", line)
+        if bare != line:
+            close()
+        inner = _MARK.sub("", _PREFIX.sub("", bare))
+        if not inner.strip() or _NOT_PROSE.match(inner) or _CODE_LINE.search(inner):
+            close()
+            continue
+        block.append(here.behind(inner).strip())
+        if _FULL.search(inner.rstrip()):
+            close()
+    close()
+    found = []
+    for s in out:
+        s = s.strip().sub(_IDENTIFIER, " ")
+        if words := [(m.group().lower(), int(s.start[m.start()]), int(s.end[m.end() - 1])) for m in _WORD.finditer(s.text)]:
+            found.append(words)
+    return found
+
+
 def _script(w: str) -> str:
     c = w[0]
     if "぀" <= c <= "ゟ":
@@ -197,10 +292,8 @@ class Field:
         inside = np.arange(steps)[None, :] < lengths[:, None]
         return out, moves, (np.where(inside, np.log(scale) + shift[:, :, 0], 0)).sum(1)
 
-    def label(self, texts: list[list[list[str]]]) -> list[list[tuple[str, float]]]:
-        """Per document, per sentence: language and confidence (the mean marginal of its words), the chain running through the document."""
-        flat = [[w for s in t for w in s] for t in texts]
-        out: list[list[tuple[str, float]]] = [[] for _ in texts]
+    def words(self, flat: list[list[str]]):
+        """(index, marginals by word and language) of each list of words that isn't empty."""
         order = sorted((i for i, f in enumerate(flat) if f), key=lambda i: len(flat[i]))
         at = 0
         while at < len(order):
@@ -214,12 +307,27 @@ class Field:
                 e[row, :lengths[row]] = self.emissions(flat[i])
             p, _, _ = self.marginals(e, lengths)
             for row, i in enumerate(part):
-                pos = 0
-                for s in texts[i]:
-                    mean = p[row, pos:pos + len(s)].mean(0)
-                    k = int(mean.argmax())
-                    out[i].append((LANGUAGES[k], float(mean[k])))
-                    pos += len(s)
+                yield i, p[row, :lengths[row]]
+
+    def label(self, texts: list[list[list[str]]]) -> list[list[tuple[str, float]]]:
+        """Per document, per sentence: language and confidence (the mean marginal of its words), the chain running through the document."""
+        out: list[list[tuple[str, float]]] = [[] for _ in texts]
+        for i, p in self.words([[w for s in t for w in s] for t in texts]):
+            pos = 0
+            for s in texts[i]:
+                mean = p[pos:pos + len(s)].mean(0)
+                k = int(mean.argmax())
+                out[i].append((LANGUAGES[k], float(mean[k])))
+                pos += len(s)
+        return out
+
+    def runs(self, flat: list[list[str]]) -> list[list[tuple[int, int, str, float]]]:
+        """Per document the maximal runs of words of one language: first word, the one behind the last, language, mean marginal."""
+        out: list[list[tuple[int, int, str, float]]] = [[] for _ in flat]
+        for i, p in self.words(flat):
+            best = p.argmax(1)
+            cuts = [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(best)]
+            out[i] = [(a, b, LANGUAGES[best[a]], float(p[a:b, best[a]].mean())) for a, b in zip(cuts, cuts[1:])]
         return out
 
     def fit(self, labelled: list[tuple[list[str], int]], epochs: int = 4, seed: int = 7) -> Field:
@@ -417,6 +525,35 @@ def segment(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str
     return rows.mapInPandas(run, f"`{key}` {kind}, label_code string, lang string, sentences int, full_sentences int, confidence double, chars long, first int")
 
 
+def stretches(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", field: Field | None = None) -> DataFrame:
+    """One row per maximal run of words of one language: key, label_code, segment, start, end, lang, words, confidence.
+
+    Words take the language of their greatest marginal, so a stretch may begin and end within a sentence. ``segment`` counts a document's runs from 0,
+    ``start`` and ``end`` are characters of the text as given, from the first word to behind the last, and ``confidence`` is the mean marginal. What isn't
+    prose belongs to no run but doesn't end one either. Nulls, repeated rows and the field are treated as in :func:`segment`.
+    """
+    if field is None:
+        field = train(sample(docs, key, text, label))
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    rows = spread(docs.select(key, text, label), key)
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches):
+        model = shared.value
+        for pdf in batches:
+            for start in range(0, len(pdf), 2000):
+                part = pdf.iloc[start:start + 2000]
+                found = [[w for s in placed_words(t) for w in s] for t in part[text]]
+                got = model.runs([[w for w, _, _ in f] for f in found])
+                out = []
+                for k, raw, f, g in zip(part[key], part[label], found, got):
+                    code = label_code(raw)
+                    out += [(k, code, n, f[a][1], f[b - 1][2], lang, b - a, sure) for n, (a, b, lang, sure) in enumerate(g)]
+                yield pd.DataFrame(out, columns=[key, "label_code", "segment", "start", "end", "lang", "words", "confidence"])
+
+    return rows.mapInPandas(run, f"`{key}` {kind}, label_code string, segment int, start int, end int, lang string, words int, confidence double")
+
+
 def mislabelled(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, lang, confidence) for documents whose label is absent, another language than their only one, or too simple.
 

@@ -1,6 +1,7 @@
 import base64
 import math
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -424,3 +425,25 @@ def test_field_on_held_out_and_mixed_text(spark):
     got = sorted(((r.doc_id or 0, r.lang) for r in language.mislabelled(seg).collect()))
     assert got == [(0, "nl"), (2, "fr"), (3, "de"), (4, "de"), (4, "en"), (9, "es")]
     assert language.segment(df.limit(0)).count() == 0  # also fits on nothing
+
+
+def test_stretches_keep_their_places(spark):
+    field = language.train(_training(random.Random(5)))
+    de, en = (SENTENCES[k].format("quota", "ledger") for k in ("de", "en"))
+    inside = "Der Index liest die Zeilen, the index writes them before it reads them to the disk, bevor er sie auf die Platte schreibt."
+    docs = [(1, f"{de}\n\n```\n{en}\n```\n{en}\r\n\r\n{de}\n\n{en}", "de"), (2, inside, "de"), (3, None, None), (4, "x = 1;", "en")]
+    seg = sorted(map(tuple, language.stretches(spark.createDataFrame(docs, "doc_id long, text string, lang string"), field=field).collect()))
+    text = docs[0][1]
+    assert [(r[0], r[2], r[5]) for r in seg] == [(1, 0, "de"), (1, 1, "en"), (1, 2, "de"), (1, 3, "en"), (2, 0, "de"), (2, 1, "en"), (2, 2, "de")]
+    assert [text[r[3]:r[4]] for r in seg if r[0] == 1] == [x.rstrip(".") for x in (de, en, de, en)] and seg[1][3] > text.index("```\n" + en[:3], 5)
+    assert "writes them before it reads" in inside[seg[5][3]:seg[5][4]] and all(0.1 < r[7] <= 1 for r in seg)
+
+
+def test_placed_words_are_those_of_sentences():
+    hard = ["* cafe\u0301 na\u00efve.\r\nfix(core): It\u200b reads `x` the foo_bar lines\u2028first (now).  \n\n> [x] Il ne trouve pas https://a.b/c la route! Ja.\n```\nfor x in y:\n```\nend", "\u8fd9\u4e2a\u3002\u6b21\u306e\u304b\u3099\u3002\u1112\u1161\u11ab \u1100\u1173\u11af.", "", None]
+    hard += [x.format("a b", "c") for x in SENTENCES.values()]
+    for text in hard:
+        got = language.placed_words(text)
+        assert [[w for w, _, _ in s] for s in got] == [w for _, w, _ in language.sentences(text)]
+        for w, a, b in (x for s in got for x in s):
+            assert language._INVISIBLE.sub("", unicodedata.normalize("NFC", text[a:b])).lower() == w
