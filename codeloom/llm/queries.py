@@ -116,4 +116,4 @@ def p10_segments(spark, d):
     return language.stretches(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_days, p2_sketches, p2_percentiles, p2_weeks, p4_found, p4_report, p4_rates, p5_found, p5_layout, p7_found, p7_pairs, p7_functions, p8_ids, p9_pack, p9_fill, p9_steps, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p2_percentiles, p2_days, p2_sketches, p2_weeks, p4_found, p4_report, p4_rates, p5_found, p5_layout, p7_found, p7_pairs, p7_functions, p8_ids, p9_pack, p9_fill, p9_steps, p10_found, p10_segments)}

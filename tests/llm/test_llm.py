@@ -70,6 +70,12 @@ def test_hot_groups_are_split_and_whole(spark, monkeypatch):
     assert got == {"hot": (2000, 0.0, 1999.0), "cold": (1, 1.0, 1.0), None: (1, 2.0, 2.0)}
 
 
+def test_percentiles_by_tool_and_workspace_come_first():
+    from codeloom.llm.queries import QUERIES
+
+    assert next(n for n in QUERIES if n.startswith("p2_")) == "p2_percentiles"
+
+
 # --- 4 ----------------------------------------------------------------------
 VALID = {
     "python": ["x = [i for i in y if i]\n", "async def f(a, /, *b, c: int = 1, **d) -> None:\n    async with a as b, c:\n        yield\n", "match x:\n    case {'a': [1, *r], **k} if r: pass\n    case P(x=1) | None: pass\n", "x: int\nx.y: int = 3\na, *b = c = d\nlambda: (yield)\n", "f'{a!r:>{w}}' f\"{f'{b}'}\"\n", "if (n := 1): pass\nelse: pass", "@a.b(c)\nclass D(E, metaclass=F): x = 1\n", "print(*a, **b, sep='')\nx[1:2, ::3]\n"],
