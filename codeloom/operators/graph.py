@@ -118,7 +118,7 @@ def degree_stats(edges: DataFrame) -> DataFrame:
 
 
 def owner_chain(sets_with_paths: DataFrame, names: DataFrame) -> DataFrame:
-    """Per node its ancestors' names from the root down, as text; from paths, so any depth takes one join."""
+    """Per node its ancestors' names from the root down, as text; from paths, so any depth takes one join."""
     steps = sets_with_paths.filter(F.col("path").isNotNull()).select("node", F.posexplode(F.split("path", "/")).alias("at", "step"))
     named = steps.join(names.select(F.col("id").alias("step"), "name"), "step").filter(F.col("node") != F.concat(F.lit("symbols:"), F.col("step")))
     return named.groupBy("node").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), " ").alias("owners"))
