@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from codeloom.plans.cut import Workspace
 from codeloom.plans.split import split_prefix
 from codeloom.sources.tables import blank, current_rows
 
-#: Rows of the peeled remainder that one task may finish; beyond it the distributed rounds go on.
-CORE_ROWS = 400_000
 SEPARATOR = "/"
 
 
-
 def forest(parts: dict[str, tuple[DataFrame, str, str]], version: str = "last_indexed") -> DataFrame:
     """Rows (tree, node, parent) of several tables, each given as (table, id column, parent column).
 
@@ -31,154 +26,132 @@ def forest(parts: dict[str, tuple[DataFrame, str, str]], version: str = "last_in
     return out.join(ids, out.parent == ids["__there"], "left").select("tree", "node", F.col("__there").alias("parent"))
 
 
-def _place_core(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sizes of a whole remainder (closed upwards), then roots, depths and cycles.
+def _ring_minimum(ws: Workspace, ring: DataFrame) -> DataFrame:
+    """The smallest node of each cycle, by pointer doubling, twice a round: (node, least)."""
+    now = ring.select("node", F.col("parent").alias("next"), F.least("node", "parent").alias("least"))
 
-    Columns in: node, parent, size (of the peeled part, itself included). Out: node, parent,
-    root, depth (-1 on and below cycles), size, cyclic (on a cycle).
-    """
-    n = len(pdf)
-    index = pd.Index(pdf["node"])
-    parent = index.get_indexer(pdf["parent"]) if n else np.zeros(0, dtype=np.int64)
-    size = pdf["size"].to_numpy(np.int64).copy()
-    waiting = np.bincount(parent[parent >= 0], minlength=n)
-    layer = np.flatnonzero(waiting == 0)
-    layers = []
-    while layer.size:
-        layers.append(layer)
-        up = parent[layer]
-        on = up >= 0
-        np.add.at(size, up[on], size[layer[on]])
-        np.subtract.at(waiting, up[on], 1)
-        touched = np.unique(up[on])
-        layer = touched[waiting[touched] == 0]
-    done = np.zeros(n, bool)
-    for layer in layers:
-        done[layer] = True
-    root, depth = np.arange(n), np.zeros(n, np.int64)
-    nodes = pdf["node"].to_numpy(object)
-    for start in np.flatnonzero(~done):  # on cycles: walk each once
-        if depth[start] < 0:
-            continue
-        ring = [start]
-        while parent[ring[-1]] != start:
-            ring.append(parent[ring[-1]])
-        least = min(ring, key=lambda i: nodes[i])
-        for i in ring:
-            root[i], depth[i], size[i] = least, -1, -1
-    for layer in reversed(layers):
-        up = parent[layer]
-        on = up >= 0
-        root[layer[on]] = root[up[on]]
-        depth[layer[on]] = np.where(depth[up[on]] < 0, -1, depth[up[on]] + 1)
-    return pd.DataFrame({"node": nodes, "parent": pdf["parent"].to_numpy(object), "root": nodes[root], "depth": depth, "size": size, "cyclic": ~done})
-
-
-def _core(batches):
-    got = [b for b in batches if len(b)]
-    if got:
-        yield _place_core(pd.concat(got, ignore_index=True))
+    def double(rows: DataFrame) -> DataFrame:
+        there = rows.select(F.col("node").alias("__n"), F.col("next").alias("__next"), F.col("least").alias("__least"))
+        step = rows.join(there, rows.next == there["__n"])
+        return step.select("node", F.col("__next").alias("next"), F.least("least", "__least").alias("least"), (F.col("__least") < F.col("least")).alias("moved"))
 
+    while True:
+        seen = Observation()
+        now = ws.cut(double(double(now).drop("moved")).observe(seen, F.count_if("moved").alias("n")), "ring").drop("moved")
+        if not seen.get["n"]:
+            return now.select("node", "least")
 
-def _ring_minimum(ws: Workspace, ring: DataFrame) -> DataFrame:
-    """The smallest node of each cycle, by pointer doubling: (node, least)."""
-    now = ring.select("node", F.col("parent").alias("next"), F.least("node", "parent").alias("least"))
+
+def _climb(ws: Workspace, edges: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Upward: the rows (node, up, size) of each round, and those (node, up) that never reach a root.
+
+    By doubling: before round k ``up`` is the ancestor 2**k steps above and ``size`` counts the descendants less than 2**k steps
+    below, itself included; nodes that have no such ancestor are through. A tree of depth d takes log2(d) + 1 rounds, so a
+    chain of a million nodes takes twenty, and each round handles only nodes at least 2**k deep. A round that
+    loses no node has cycles alone before it: with an ancestor 2**(k+1) above on a way that ends, some node would have ended in between.
+    """
+    now, left = ws.counted(edges.select("node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")), "climb")
+    rounds = []
+    while left:
+        rounds.append(now)
+        # combined before the shuffle, so a parent of a third of all nodes is one row per task
+        add = now.groupBy(F.col("up").alias("__m")).agg(F.sum("size").alias("__add"))
+        above = now.select(F.col("node").alias("__n"), F.col("up").alias("__up"))
+        step = now.join(above, now.up == above["__n"]).join(add, F.col("node") == F.col("__m"), "left")
+        now, count = ws.counted(step.select("node", F.col("__up").alias("up"), (F.col("size") + F.coalesce("__add", F.lit(0))).alias("size")), "climb")
+        if count == left:
+            return rounds, now.select("node", "up")
+        left = count
+    return rounds, None
+
+
+def _on_cycles(ws: Workspace, looped: DataFrame) -> DataFrame:
+    """(node) of those that lie on a cycle, from nodes on or below one with an ancestor of each.
+
+    The ancestors 2**k steps above shrink to the cycles as k grows; once they stay as many, walking permutes them.
+    """
+    now = looped
+    image, left = ws.counted(now.select(F.col("up").alias("node")).distinct(), "image")
     while True:
-        there = now.select(F.col("node").alias("__n"), F.col("next").alias("__next"), F.col("least").alias("__least"))
-        step = now.join(there, now.next == there["__n"]).select("node", F.col("__next").alias("next"), F.least("least", "__least").alias("least"), (F.col("__least") < F.col("least")).alias("moved"))
-        step = ws.cut(step, "ring")
-        if not step.filter("moved").limit(1).count():
-            return step.select("node", "least")
-        now = step.drop("moved")
+        # the ancestors' ancestors
+        above = now.select(F.col("node").alias("__n"), F.col("up").alias("__up"))
+        nxt, count = ws.counted(image.join(above, image.node == above["__n"]).select(F.col("__up").alias("node")).distinct(), "image")
+        if count == left:
+            return nxt
+        now = ws.cut(now.join(above, now.up == above["__n"]).select("node", F.col("__up").alias("up")), "walk")
+        image, left = nxt, count
 
 
-def nested_sets(spark, nodes: DataFrame, core_rows: int = CORE_ROWS) -> DataFrame:
+def nested_sets(spark, nodes: DataFrame) -> DataFrame:
     """Root, depth, subtree size and preorder range of each node of a forest of (tree, node, parent).
 
-    Upward: leaves are peeled round by round, each adding its subtree size to its parent;
-    what is left shrinks by the share of leaves each time. Once the remainder is within ``core_rows`` (a fixed
-    bound on one task's memory), one task finishes it; larger remainders go on in distributed rounds, so nothing depends
-    on the bound but speed. Nodes that no round can process lie on cycles.
-    Downward: prefix sums over siblings' sizes (split, so that a parent with very many children is no hot task)
-    give each child its offset; ranges, depths and roots then follow parents, in as many rounds.
+    Upward: subtree sizes by doubling (see :func:`_climb`); what never reaches a root lies on a cycle or below one.
+    Downward: prefix sums over siblings' sizes (split, so that a parent with very many children is no hot task) give each
+    child its offset; a node's place is the sum of 1 + offset over itself and its ancestors, which doubling
+    adds up along with depth and root. Both ways take log2(depth) + 1 rounds at every size, whatever the shape.
 
     Columns: tree, node, parent, root, depth, size, lft, rgt, cyclic. Descendants of x are
     the nodes of its root with x.lft < lft <= x.rgt, ancestors those with lft < x.lft <= rgt. Roots have depth 0.
-    Nodes on a cycle (cyclic) or below one have depth -1, the smallest node of the cycle as root and null ranges.
+    Nodes on a cycle (cyclic) or below one have depth -1, the smallest node of the cycle as root and null ranges; those on one have null size.
     An empty forest gives no rows; ``node`` must be unique and not null, ``parent`` null or a node.
     """
     ws = Workspace(spark, "hierarchy")
-    state = ws.cut(nodes.select("tree", "node", "parent", F.lit(1).cast("long").alias("size")), "nodes")
-    peeled: list[DataFrame] = []
-    left = state.count()
-    stuck = False
-    while left > core_rows and not stuck:
-        # a child's contribution is combined before the shuffle, so a hot parent is one row per task
-        below = state.filter(F.col("parent").isNotNull()).groupBy("parent").agg(F.count(F.lit(1)).alias("__kids")).withColumnRenamed("parent", "__p")
-        marked = ws.cut(state.join(below, state.node == below["__p"], "left").select("tree", "node", "parent", "size", F.col("__p").isNull().alias("leaf")), "marked")
-        ws.drop(state)  # its rows stand in the marked table from here on
-        leaves = marked.filter("leaf").select("tree", "node", "parent", "size")
-        sums = leaves.filter(F.col("parent").isNotNull()).groupBy("parent").agg(F.sum("size").alias("__add")).withColumnRenamed("parent", "__p")
-        rest = marked.filter("not leaf")
-        state = ws.cut(rest.join(sums, rest.node == sums["__p"], "left").select("tree", "node", "parent", (F.col("size") + F.coalesce("__add", F.lit(0))).alias("size")), "left")
-        now = state.count()
-        stuck = now == left
-        if not stuck:
-            peeled.append(leaves)
-            left = now
-    if stuck:  # more cycle nodes than one task may hold
-        least = _ring_minimum(ws, state)
-        core = state.join(least.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n")).select("node", "parent", F.col("least").alias("root"), F.lit(-1).cast("long").alias("depth"), F.lit(-1).cast("long").alias("size"), F.lit(True).alias("cyclic"))
-    else:
-        core = state.select("node", "parent", "size").coalesce(1).mapInPandas(_core, "node string, parent string, root string, depth long, size long, cyclic boolean")
-    core = ws.cut(core, "core")
-
-    # sizes are known everywhere: offsets among siblings, in one go
-    sized = core.select("node", "parent", "size", "cyclic")
-    for p in peeled:
-        sized = sized.unionByName(p.select("node", "parent", "size", F.lit(False).alias("cyclic")))
-    kids = sized.filter(F.col("parent").isNotNull() & ~F.col("cyclic"))
-    offsets = split_prefix(kids.select("parent", "node", "size"), ["parent"], ["node"], F.col("size"), "off").select("node", "off")
-    offsets = ws.cut(offsets, "offsets")
-
-    own = core.join(offsets.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").drop("__n")
-    if stuck:
-        placed = own.select("node", "parent", "root", "depth", "size", "cyclic", F.lit(None).cast("long").alias("lft"))
+    state = ws.cut(nodes.select("node", "parent"), "nodes")
+    rounds, looped = _climb(ws, state.filter(F.col("parent").isNotNull()))
+    rows = state.withColumn("least", F.lit(None).cast("string"))
+    adds = [r.select("up", "size") for r in rounds]
+    if looped is not None:
+        ring = _on_cycles(ws, looped).withColumnRenamed("node", "__r")
+        least = _ring_minimum(ws, state.join(ring, F.col("node") == F.col("__r"), "left_semi"))
+        rows = state.join(least.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").drop("__n")
+        # nodes below cycles: the cycles' nodes are their roots
+        hanging = state.join(looped.select(F.col("node").alias("__l")), F.col("node") == F.col("__l"), "left_semi")
+        below, _ = _climb(ws, hanging.join(ring, F.col("node") == F.col("__r"), "left_anti"))
+        adds = [a.join(looped.select(F.col("node").alias("up")), "up", "left_anti") for a in adds] + [r.select("up", "size") for r in below]
+        rounds += below
+    if adds:
+        total = adds[0]
+        for a in adds[1:]:
+            total = total.unionByName(a)
+        total = total.groupBy(F.col("up").alias("__n")).agg(F.sum("size").alias("add"))
+        rows = rows.join(total, F.col("node") == F.col("__n"), "left").drop("__n")
     else:
-        placed = own.coalesce(1).mapInPandas(_ranges, "node string, parent string, root string, depth long, size long, cyclic boolean, lft long")
-    placed = ws.cut(placed, "placed")
-    levels = [placed]
-    for p in reversed(peeled):
-        above = levels[0].select(F.col("node").alias("__p"), F.col("root").alias("__root"), F.col("depth").alias("__depth"), F.col("lft").alias("__lft"))
-        for level in levels[1:]:
-            above = above.unionByName(level.select(F.col("node").alias("__p"), F.col("root").alias("__root"), F.col("depth").alias("__depth"), F.col("lft").alias("__lft")))
-        step = p.join(offsets.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").join(above, F.col("parent") == F.col("__p"), "left")
-        depth = F.when(F.col("parent").isNull(), F.lit(0)).when(F.col("__depth") < 0, F.lit(-1)).otherwise(F.col("__depth") + 1).cast("long")
-        lft = F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.col("__lft") + 1 + F.col("off")).cast("long")
-        step = step.select("node", "parent", F.coalesce("__root", "node").alias("root"), depth.alias("depth"), "size", F.lit(False).alias("cyclic"), lft.alias("lft"))
-        levels.append(ws.cut(step, "level") if p is not peeled[0] else step)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
+        rows = rows.withColumn("add", F.lit(None).cast("long"))
+    cyclic = F.col("least").isNotNull()
+    rows = ws.cut(rows.select("node", "parent", F.when(~cyclic, F.coalesce("add", F.lit(0)) + 1).alias("size"), cyclic.alias("cyclic"), "least"), "sized")
+    for r in rounds:
+        ws.drop(r)
+
+    kids = rows.filter(F.col("parent").isNotNull() & ~F.col("cyclic"))
+    offsets = split_prefix(kids.select("parent", "node", "size"), ["parent"], ["node"], F.col("size"), "off")
+    offsets = offsets.select("node", "parent", "size", F.lit(False).alias("cyclic"), F.lit(None).cast("string").alias("least"), (F.col("off") + 1).alias("lft"))
+    tops = rows.filter(F.col("parent").isNull() | F.col("cyclic")).select("node", "parent", "size", "cyclic", "least", F.lit(0).cast("long").alias("lft"))
+    top = F.col("parent").isNull() | F.col("cyclic")
+    # a cycle's node as root has a depth so low that every sum with it stays negative
+    start = tops.unionByName(offsets).select(
+        "node", "parent", "size", "cyclic", F.when(~top, F.col("parent")).alias("up"), F.when(top, F.coalesce("least", "node")).alias("root"),
+        F.when(F.col("cyclic"), F.lit(-(1 << 60))).when(top, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("depth"), "lft",
+    )
+    going_on = F.col("up").isNotNull()
+    seen = Observation()
+    now = ws.cut(start.observe(seen, F.count_if(going_on).alias("n")), "start")
+    ws.drop(rows)
+    through = [now.filter(~going_on)]
+    while seen.get["n"]:
+        going = now.filter(going_on)
+        above = going
+        for t in through:
+            above = above.unionByName(t)
+        above = above.select(F.col("node").alias("__n"), F.col("up").alias("__up"), F.col("root").alias("__root"), F.col("depth").alias("__depth"), F.col("lft").alias("__lft"))
+        step = going.join(above, F.col("up") == F.col("__n")).select("node", "parent", "size", "cyclic", F.col("__up").alias("up"), F.col("__root").alias("root"), (F.col("depth") + F.col("__depth")).alias("depth"), (F.col("lft") + F.col("__lft")).alias("lft"))
+        seen = Observation()
+        now = ws.cut(step.observe(seen, F.count_if(going_on).alias("n")), "down")
+        through.append(now.filter(~going_on))
+    out = through[0]
+    for t in through[1:]:
+        out = out.unionByName(t)
     ranged = F.col("depth") >= 0
-    return out.select(F.substring_index("node", ":", 1).alias("tree"), "node", "parent", "root", F.col("depth").cast("int").alias("depth"), F.when(F.col("size") >= 0, F.col("size")).alias("size"), F.when(ranged, F.col("lft")).alias("lft"), F.when(ranged, F.col("lft") + F.col("size") - 1).alias("rgt"), "cyclic")
-
-
-def _ranges(batches):
-    """Preorder positions of the remainder, parents before children."""
-    got = [b for b in batches if len(b)]
-    if not got:
-        return
-    pdf = pd.concat(got, ignore_index=True)
-    parent = pd.Index(pdf["node"]).get_indexer(pdf["parent"])
-    off = pdf["off"].fillna(0).to_numpy(np.int64)
-    depth = pdf["depth"].to_numpy(np.int64)
-    lft = np.zeros(len(pdf), np.int64)
-    order = np.argsort(depth, kind="stable")
-    order = order[depth[order] > 0]
-    for level in np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if order.size else []:
-        lft[level] = lft[parent[level]] + 1 + off[level]
-    yield pdf.assign(lft=np.where(depth >= 0, lft, 0)).drop(columns="off")
+    return out.select(F.substring_index("node", ":", 1).alias("tree"), "node", "parent", "root", F.when(ranged, F.col("depth")).otherwise(-1).cast("int").alias("depth"), "size", F.when(ranged, F.col("lft")).alias("lft"), F.when(ranged, F.col("lft") + F.col("size") - 1).alias("rgt"), "cyclic")
 
 
 CATALOGUE = {"symbols": ("id", "parent_id"), "type_arguments": ("id", "parent_arg_id")}
@@ -193,7 +166,7 @@ def bare(node) -> Column:
     return F.substring(node, F.instr(node, ":") + 1, 1 << 30)
 
 
-def with_paths(spark, sets: DataFrame, core_rows: int = CORE_ROWS) -> DataFrame:
+def with_paths(spark, sets: DataFrame) -> DataFrame:
     """Adds ``path``: the bare ids from the root to the node, joined by ``/``; null on and below cycles.
 
     Paths are as long as their nodes are deep, which no other column is; they are made by doubling: after round k each node knows its

@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where no spark.checkpoint.dir is set and the master is local (tests).
 _local_root: list[str] = []
@@ -53,6 +54,12 @@ class Workspace:
         out._codeloom_path = path
         return out
 
+    def counted(self, df: DataFrame, name: str = "step") -> tuple[DataFrame, int]:
+        """The written table and its number of rows, counted while it is written."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return out, seen.get["n"]
+
     def drop(self, what: DataFrame | str) -> None:
         path = what if isinstance(what, str) else getattr(what, "_codeloom_path", None)
         if not path:

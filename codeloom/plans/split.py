@@ -5,15 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.plans.spread import stored_bytes
 
-def split_prefix(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, buckets: int = 64) -> DataFrame:
+#: Buckets that a group is split into at least, and the stored bytes that one bucket of a group with all rows gets at most.
+BUCKETS, BUCKET_BYTES = 64, 16 << 20
+
+
+def split_prefix(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, buckets: int | None = None) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the group that come earlier.
 
     The order within a group is by (bucket, ``order``), bucket being a hash of ``order``
     and the group: fixed, though not alphabetical. No task holds a whole group: rows are sorted within
     (group, bucket), and only one row per bucket meets the others of its group.
-    ``order`` must be unique within the group. Nulls in ``group`` form a group.
+    ``order`` must be unique within the group. Nulls in ``group`` form a group. The number of buckets grows with the data, unless it is given.
     """
+    buckets = buckets or max(BUCKETS, -(-stored_bytes(df) // BUCKET_BYTES))
     b, v = f"__b_{out}", f"__v_{out}"
     rows = df.withColumn(b, F.pmod(F.xxhash64(*group, *order), F.lit(buckets)).cast("int")).withColumn(v, value)
     inner = Window.partitionBy(*group, b).orderBy(*order)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.operators import hierarchy as h
 
@@ -40,14 +41,26 @@ CASES = {
 
 
 @pytest.mark.parametrize("name", CASES)
-@pytest.mark.parametrize("core", [400_000, 2])
-def test_against_walks(spark, name, core):
-    if name == "deep" and core == 2:
-        pytest.skip("sixty rounds add nothing to what the others show")
-    got = {h_.node[2:]: (h_.root[2:], h_.depth) for h_ in _sets(spark, CASES[name], core_rows=core).collect()}
+def test_against_walks(spark, name):
+    got = {h_.node[2:]: (h_.root[2:], h_.depth) for h_ in _sets(spark, CASES[name]).collect()}
     assert got == _brute(CASES[name])
 
 
+def test_a_long_chain_takes_few_rounds(spark):
+    n = 20_000
+    nodes = spark.range(n).selectExpr("'t' AS tree", "concat('t:', lpad(id, 7, '0')) AS node", "IF(id = 0, null, concat('t:', lpad(id - 1, 7, '0'))) AS parent")
+    rows = h.nested_sets(spark, nodes).agg(F.count("*"), F.max("depth"), F.count_if(F.col("size") == n - F.col("depth")), F.count_if(F.col("lft") == F.col("depth"))).first()
+    assert tuple(rows) == (n, n - 1, n, n)
+
+
+def test_cycles_with_deep_trees_below(spark):
+    pairs = [(f"c{i:03d}", f"c{(i + 1) % 100:03d}") for i in range(100)] + [("d0", "c050")] + [(f"d{i}", f"d{i - 1}") for i in range(1, 40)] + [("x", "x"), ("r", None), ("s", "r")]
+    rows = {r.node[2:]: r for r in _sets(spark, pairs).collect()}
+    assert {k: (r.root[2:], r.depth) for k, r in rows.items()} == _brute(pairs)
+    assert [rows[f"d{i}"].size for i in (0, 39)] == [40, 1] and rows["c000"].size is None and rows["r"].size == 2
+    assert sum(r.cyclic for r in rows.values()) == 101
+
+
 @pytest.mark.parametrize("block", [4096, 3])
 def test_all_descendants_against_walks(spark, monkeypatch, block):
     monkeypatch.setattr(h, "BLOCK", block)
@@ -55,7 +68,7 @@ def test_all_descendants_against_walks(spark, monkeypatch, block):
     pairs = [("n0", None)] + [(f"n{i}", f"n{rng.randrange(i)}" if rng.random() < 0.9 else None) for i in range(1, 120)] + CASES["cycle with a tail"]
     parent = dict(pairs)
     looped = {"a", "b", "c", "t", "u"}
-    got = sorted((r.tree, r.ancestor[2:], r.node[2:]) for r in h.all_descendants(_sets(spark, pairs, core_rows=20)).collect())
+    got = sorted((r.tree, r.ancestor[2:], r.node[2:]) for r in h.all_descendants(_sets(spark, pairs)).collect())
     assert got == sorted(("t", i, j) for i in parent for j in parent if i != j and not looped & {i, j} and _has(parent, j, i))
     assert h.all_descendants(_sets(spark, [("r", None)])).count() == 0
 
@@ -76,7 +89,7 @@ def test_ranges_nest_and_sizes_add_up(spark):
     rng = random.Random(3)
     pairs = [("n0", None)] + [(f"n{i}", f"n{rng.randrange(i)}" if rng.random() < 0.95 else None) for i in range(1, 300)]
     parent = dict(pairs)
-    rows = {r.node[2:]: r for r in _sets(spark, pairs, core_rows=20).collect()}
+    rows = {r.node[2:]: r for r in _sets(spark, pairs).collect()}
     for i, r in rows.items():
         below = [j for j in rows if j != i and _has(parent, j, i)]
         assert r.size == len(below) + 1 and r.rgt - r.lft + 1 == r.size
@@ -108,5 +121,5 @@ def test_current_rows_nulls_and_empty(spark):
 
 def test_one_parent_with_many_children(spark):
     pairs = [("r", None)] + [(f"c{i}", "r") for i in range(2000)]
-    rows = _sets(spark, pairs, core_rows=100).collect()
+    rows = _sets(spark, pairs).collect()
     assert sorted(r.lft for r in rows) == list(range(2001))
