@@ -119,7 +119,7 @@ def nested_sets(spark, nodes: DataFrame) -> DataFrame:
         rows = rows.withColumn("add", F.lit(None).cast("long"))
     cyclic = F.col("least").isNotNull()
     rows = ws.cut(rows.select("node", "parent", F.when(~cyclic, F.coalesce("add", F.lit(0)) + 1).alias("size"), cyclic.alias("cyclic"), "least"), "sized")
-    for r in rounds:
+    for r in [state, *rounds]:
         ws.drop(r)
 
     kids = rows.filter(F.col("parent").isNotNull() & ~F.col("cyclic"))
