@@ -71,3 +71,27 @@ class Workspace:
         except Exception:  # the session has ended already
             if path.startswith("file:"):
                 shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
+def _file(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_bytes(spark: SparkSession, name: str) -> bytes | None:
+    """A small file of the shared folder, or None."""
+    path, fs = _file(spark, name)
+    if not fs.exists(path):
+        return None
+    return bytes(spark.read.format("binaryFile").load(str(path)).select("content").first()[0])
+
+
+def write_bytes(spark: SparkSession, name: str, data: bytes) -> None:
+    """Writes a small file of the shared folder; readers see it whole or not at all."""
+    path, fs = _file(spark, name)
+    temp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(temp, True)
+    out.write(bytearray(data))
+    out.close()
+    if not fs.rename(temp, path):  # another writer was first, with the same content
+        fs.delete(temp, False)
