@@ -5,6 +5,9 @@ small names are rules; ``/`` is ordered choice, ``* + ? & !`` as usual; ``NLB``
 position to the position behind its match (or -1) that keeps its results by position, so every rule runs
 at most once per position and parsing takes linear time. Rules written with ``<~`` aren't kept: they are cheap and
 tried once. The recogniser also tells the furthest position at which a token didn't fit.
+
+Nesting deeper than the interpreter's stack is filled in from the right: every kept rule is tried at the last token, then at the one before,
+and so on, so each finds what it needs already kept and no call goes deep, whatever the input.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ import re
 import sys
 
 EOF = "EOF"
+#: Calls within calls before a text is parsed from the right instead; some hundred bytes each.
+STACK = 20_000
 _WORD = re.compile(r"\s*(?:(?P<lit>'[^']+')|(?P<name>[A-Za-z_]\w*)|(?P<op>[/*+?&!()]))")
 _RULE = re.compile(r"^(\w+)\s*<([-~])", re.M)
 
@@ -92,7 +97,9 @@ class Grammar:
                 if used not in self.rules:
                     raise ValueError(f"grammar: {name} uses {used}")
         self._first_sets()
+        self.start = start
         self.run = self._compile(start)
+        self._from_right = None
 
     def _names(self, e):
         kind, x = e
@@ -139,7 +146,8 @@ class Grammar:
                 return out, False
         return out, True
 
-    def _compile(self, start):
+    def _compile(self, start, from_right: bool = False):
+        """The recogniser; ``from_right`` keeps with each result how far it looked, so that results found early report the same furthest position."""
         self.lines, self.sets, self.n = [], {}, 0
         put = self.lines.append
         put("def run(K, B):")
@@ -151,12 +159,27 @@ class Grammar:
             put("        nonlocal far")
             if r in self.kept:
                 put(f"        m = M_{r}.get(p)")
-                put("        if m is not None: return m")
+                if from_right:
+                    put("        if m is not None:")
+                    put("            if m[1] > far: far = m[1]")
+                    put("            return m[0]")
+                    put("        before = far; far = 0")
+                else:
+                    put("        if m is not None: return m")
                 put("        at = p")
             self._emit(e, 8)
             if r in self.kept:
-                put(f"        M_{r}[at] = p")
+                put(f"        M_{r}[at] = " + ("(p, far)" if from_right else "p"))
+                if from_right:
+                    put("        if before > far: far = before")
             put("        return p")
+        if from_right:
+            put("    for i in range(len(K) - 1, -1, -1):")
+            put("        k = K[i]")
+            for r in sorted(self.kept):
+                first, empty = self.first[r]
+                put(f"        r_{r}(i)" if empty else f"        if k in {self._set(first)}: r_{r}(i)")
+            put("    far = 0")
         put(f"    return r_{start}(0), far")
         space = {f"F{i}": s for s, i in self.sets.items()}
         exec(compile("\n".join(self.lines), "<grammar>", "exec"), space)  # noqa: S102 - the text is this package's own
@@ -232,9 +255,11 @@ class Grammar:
 
     def parse(self, kinds: list[str], breaks: list[bool] | None = None) -> tuple[bool, int]:
         """(whether the whole input matches, the furthest token that didn't fit)."""
-        limit = sys.getrecursionlimit()
-        need = min(400_000, 2_000 + 40 * len(kinds))
-        if need > limit:
-            sys.setrecursionlimit(need)
-        end, far = self.run(kinds, breaks)
+        if sys.getrecursionlimit() < STACK:
+            sys.setrecursionlimit(STACK)
+        try:
+            end, far = self.run(kinds, breaks)
+        except RecursionError:
+            self._from_right = self._from_right or self._compile(self.start, True)
+            end, far = self._from_right(kinds, breaks)
         return end == len(kinds), far
