@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import lru_cache
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import gll, lexers
+from codeloom.plans.cut import Workspace
 from codeloom.plans.spread import spread
 from codeloom.sources.tables import blank, current_rows
 
@@ -228,8 +230,6 @@ def _shape(language: str, kinds: tuple[str, ...]) -> tuple[int, tuple[int, ...]]
     return None
 
 
-
-
 def header(language: str, code: str | None, signature: str | None) -> tuple[str, list[str]] | None:
     """(name, parameter names) of a function from its code, else from its signature; None if neither holds a function."""
     if language not in _GRAMMARS:
@@ -292,9 +292,9 @@ _PARAM = re.compile(r"^\s*(?:[@\\](?:param|arg|argument|tparam|template|property
 _TAG = re.compile(r"(?:^|(?<=\s))(?:\{?[@\\][A-Za-z][\w-]*\}?|:\w+:)(?:\s*\{[^}]*\})?")
 _SECTION = re.compile(r"^\s*(?:args|arguments|parameters|params|returns?|yields?|raises|throws|examples?|notes?|attributes|keyword args|other parameters|see also|# (?:arguments|returns|panics|errors|examples|safety))\s*:?\s*$", re.I)
 _XML = re.compile(r"</?[A-Za-z][^<>]*>")
-_EMPTY = frozenset(
-    "todo fixme xxx tbd wip hack nyi n a na none null nil ditto undocumented description descriptions summary doc docs document documented documentation documents describe described add write fill missing goes here no to be see above below same as helper helpers getter setter accessor method methods function functions func fn procedure routine constructor stub auto generated autogenerated placeholder comment comments text content details info information coming soon later pending more the of for and is it this that in on by with or at me please insert your needs need needed implementation implement implements not yet implemented lorem ipsum dolor sit amet blah foo bar baz test self cls".split()
-) | frozenset("无 暂无 待补充 说明 描述 待办 文档 未文档化 pendiente documentar descripción documentação descrição dokumentation beschreibung fehlt aucune manquante да нет описание".split())
+#: Placeholders, and words that only name the kind of thing or bind others; alone they tell nothing. What else is a template, the corpus tells by its counts.
+_PLACEHOLDERS = frozenset("todo fixme xxx tbd wip n a none null doc docs document describe description".split())
+_BINDERS = frozenset("a an the of for and is are it its this that to in on by with or as at from be which see above below function functions method methods func fn procedure routine constructor self cls".split())
 _SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_A-Za-z]+")
 
 
@@ -335,25 +335,23 @@ def description(doc: str | None) -> str:
     return "\n".join(kept)
 
 
-def says_more(doc: str | None, name: str | None, params: list[str]) -> bool:
-    """Whether a documentation comment tells more than the names of its function and parameters."""
+def residue(doc: str | None, name: str | None, params: list[str]) -> str:
+    """The words of a documentation comment that aren't those of its function's and parameters' names (inflected or not), placeholders or binders."""
     text = description(doc)
     if not text:
-        return False
+        return ""
     known = set()
     for n in (name, *params):
         known.update(stem(w.lower()) for w in _SPLIT.findall(n or ""))
     whole = {(n or "").lower() for n in (name, *params)}
+    out = []
     for word in re.findall(r"[^\W\d_]+(?:'[a-z]+)?", re.sub(r"\b\w*\d\w*\b|\b[A-Za-z_$][\w$]*\b", lambda m: " ".join(_SPLIT.findall(m.group())) if m.group().lower() not in whole else " ", text)):
         w = word.lower()
         if len(w) == 1 and w.isascii():
             continue
-        if w not in _EMPTY and stem(w) not in known and stem(w) not in _STEMS:
-            return True
-    return False
-
-
-_STEMS = frozenset(stem(w) for w in _EMPTY if len(w) > 3)
+        if w not in _PLACEHOLDERS and w not in _BINDERS and stem(w) not in known:
+            out.append(w)
+    return " ".join(out)
 
 
 def _documented(symbols: DataFrame) -> DataFrame:
@@ -364,17 +362,26 @@ def _documented(symbols: DataFrame) -> DataFrame:
     return now.filter(mine & ~blank(F.col("code_context")) & ~blank(F.col("doc_comment")))
 
 
-def documented_functions(symbols: DataFrame) -> DataFrame:
+#: What is left of a comment besides names is a template if it has at most so many words and this share of all documented functions, and at least so many, have it.
+RESIDUE_WORDS, RESIDUE_SHARE, RESIDUE_LEAST = 3, 0.001, 8
+
+
+def documented_functions(symbols: DataFrame, texts: bool = True, share: float = RESIDUE_SHARE, least: int = RESIDUE_LEAST) -> DataFrame:
     """One row per current function or method whose documentation tells more than its names.
 
-    Columns symbol_id, name, language, file_path, params, code, description. The header is parsed by a generalised LL parser
+    Columns symbol_id, name, language, file_path, params, code, description (the last two only with ``texts``). The header is parsed by a generalised LL parser
     for the names of function and parameters; where code and signature hold no function it reads, the symbol's own
-    name alone counts. Null or blank code or documentation gives no row, nor does trivial documentation; a
+    name alone counts. What is left of the documentation without them (:func:`residue`) is counted by hash over the whole corpus, equal ones
+    being folded before the shuffle: nothing left is trivial, and so is a residue of few words that the corpus repeats as a template ("Getter.",
+    "Documentation goes here."). In a corpus so small that nothing repeats, only empty residues are trivial.
+
+    Null or blank code or documentation gives no row; a
     null kind is no function; a null or unknown language is parsed by none; of repeated rows the greatest last_indexed counts; rows with null
     id are left out; an empty table gives no rows. Texts are taken whole.
     """
     rows = spread(_documented(symbols), "id")
-    schema = "symbol_id string, name string, language string, file_path string, params array<string>, code string, description string"
+    extra = ["code", "description"] * texts
+    schema = "symbol_id string, name string, language string, file_path string, params array<string>, residue string" + ", code string, description string" * texts
 
     def run(batches):
         for pdf in batches:
@@ -383,11 +390,19 @@ def documented_functions(symbols: DataFrame) -> DataFrame:
                 got = header((r.language or "").strip().lower(), r.code_context, r.signature)
                 params = got[1] if got else []
                 names = [*params, got[0]] if got else params
-                if says_more(r.doc_comment, r.name, names):
-                    out.append((r.id, r.name, r.language, r.file_path, params, r.code_context, description(r.doc_comment)))
-            yield pd.DataFrame(out, columns=["symbol_id", "name", "language", "file_path", "params", "code", "description"])
-
-    return rows.mapInPandas(run, schema)
+                left = residue(r.doc_comment, r.name, names)
+                # a trivial one is only counted, so its texts stay behind
+                told = (r.code_context if left else None, description(r.doc_comment) if left else None) if texts else ()
+                out.append((r.id, r.name, r.language, r.file_path, params, left, *told))
+            yield pd.DataFrame(out, columns=["symbol_id", "name", "language", "file_path", "params", "residue", *extra])
+
+    parsed = Workspace(symbols.sparkSession, "documented").cut(rows.mapInPandas(run, schema), "parsed")
+    counts = parsed.groupBy(F.xxhash64("residue").alias("h"), (F.size(F.split("residue", " ")) <= RESIDUE_WORDS).alias("short")).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    # at most 1 / share rows each, so they can be broadcast whatever the corpus
+    templates = counts.crossJoin(F.broadcast(total)).filter(F.col("short") & (F.col("n") >= least) & (F.col("n") > F.col("total") * share)).select("h")
+    told = parsed.filter("residue <> ''").join(F.broadcast(templates), F.xxhash64("residue") == F.col("h"), "left_anti")
+    return told.drop("residue")
 
 
 #: A description is a template if this share of all pairs has it word for word, and at least so many.
@@ -422,40 +437,37 @@ def functions_of_files(files: DataFrame) -> DataFrame:
             out = []
             for r in pdf.itertuples(index=False):
                 lang = r.language.strip().lower()
+                breaks = [m.start() for m in re.finditer("\n", r.content)]
                 for start, end, name, params in find_functions(lang, r.content):
                     code = r.content[start:end]
-                    doc = comment_before(lang, r.content, start) or (docstring(code) if lang == "python" else None)
-                    said = description(doc) if says_more(doc, name, params) else None
-                    out.append((r.path, name, params, r.content.count("\n", 0, start) + 1, r.content.count("\n", 0, end) + 1, code, said))
+                    doc = comment_before(lang, r.content, start, breaks) or (docstring(code) if lang == "python" else None)
+                    said = description(doc) if residue(doc, name, params) else None
+                    out.append((r.path, name, params, bisect_left(breaks, start) + 1, bisect_left(breaks, end) + 1, code, said))
             yield pd.DataFrame(out, columns=["path", "name", "params", "start_line", "end_line", "code", "description"])
 
     return rows.select("path", "language", "content").mapInPandas(run, "path string, name string, params array<string>, start_line int, end_line int, code string, description string")
 
 
+def comment_before(language: str, text: str, start: int, breaks: list[int]) -> str | None:
+    """The comment block that ends right before a position; ``breaks`` are the places of the text's line ends."""
+    i = bisect_left(breaks, start)
 
+    def line(k: int) -> str:
+        return text[breaks[k - 1] + 1 if k else 0:breaks[k]].strip()
 
-def comment_before(language: str, text: str, start: int) -> str | None:
-    """The comment block that ends right before a position."""
-    head = text[:start]
-    lines = head.split("\n")
-    i = len(lines) - 1
     if i < 1:
         return None
-    last = lines[i - 1].strip()
+    if (last := line(i - 1)).endswith("*/") and language != "python":
+        at = text.rfind("/*", 0, start)
+        return text[at:start].strip() if at >= 0 else None
     mark = "#" if language == "python" else "//"
-    if last.endswith("*/") and language != "python":
-        at = head.rfind("/*")
-        return head[at:].strip() if at >= 0 else None
     took = []
-    i -= 1
-    while i >= 0 and lines[i].strip().startswith(mark):
-        took.append(lines[i].strip())
+    while i > 0 and (last := line(i - 1)).startswith(mark):
+        took.append(last)
         i -= 1
     return "\n".join(reversed(took)) or None
 
 
-
-
 def docstring(code: str) -> str | None:
     """The string that stands first in a Python function."""
     at = _body_start("python", code)
