@@ -133,8 +133,8 @@ def _encoder(shared) -> Encoder:
     return _encoders[key]
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, counts_only: bool = False) -> DataFrame:
-    """(key, ids) of every row, or (key, tokens) with ``counts_only``.
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, counts_only: bool = False, keep_text: bool = False) -> DataFrame:
+    """(key, ids) of every row, or (key, tokens) with ``counts_only``; the text beside them with ``keep_text``.
 
     Special tokens are never made: their strings in a text are ordinary text. Null and empty texts
     give an empty list (count 0); every row gives one row, repeated rows and null keys included; other
@@ -154,12 +154,28 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
             for start in range(0, len(texts), 1000):
                 part = [enc.encode(t) for t in texts.slice(start, 1000).to_pylist()]
                 done = pa.array([len(x) for x in part], pa.int64()) if counts_only else pa.array(part, ids)
-                yield pa.RecordBatch.from_arrays([keys.slice(start, 1000), done], names=[key, "tokens" if counts_only else "ids"])
+                texts_too = [texts.slice(start, 1000)] * keep_text
+                yield pa.RecordBatch.from_arrays([keys.slice(start, 1000), done, *texts_too], names=[key, "tokens" if counts_only else "ids", *[text] * keep_text])
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, " + ("tokens bigint" if counts_only else "ids array<int>"))
+    return rows.mapInArrow(run, f"`{key}` {kind}, " + ("tokens bigint" if counts_only else "ids array<int>") + f", `{text}` string" * keep_text)
 
 
 def decode(ids: list[int], ranks: bytes) -> str:
     """The text of ids, for round trips."""
     spelt = {int(b): base64.b64decode(a) for a, b in map(bytes.split, ranks.splitlines())}
     return b"".join(spelt[i] for i in ids).decode("utf-8", "replace")
+
+
+def roundtrip(encoded: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(key, bytes, same): the bytes of each text, and whether its ids spell it; a null text counts as empty."""
+    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    kind = encoded.schema[key].dataType.simpleString()
+
+    def run(batches):
+        spelt = _encoder(shared).spelt
+        for batch in batches:
+            want = [(t or "").encode("utf-8", "replace") for t in batch.column(text).to_pylist()]
+            same = [b"".join(map(spelt.__getitem__, ids)) == w for ids, w in zip(batch.column("ids").to_pylist(), want)]
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(map(len, want), pa.int64()), pa.array(same, pa.bool_())], names=[key, "bytes", "same"])
+
+    return encoded.mapInArrow(run, f"`{key}` {kind}, bytes bigint, same boolean")
