@@ -86,7 +86,7 @@ class Sketch:
                 self._put(h + 1, values[coin:cut:2])
                 level = self.levels[h]
                 level[0], level[1] = values[cut:], done + 1
-                if level[1] >= 1 << (sections - 1) and size > 8:
+                if level[1] >= 1 << (sections - 1) and size > 4:
                     level[2], level[3] = sections * 2, max(4, int(round(size / np.sqrt(2) / 2)) * 2)
             h += 1
 
@@ -195,8 +195,8 @@ def group_sketches(df: DataFrame, keys: list[str], value: str, k: int = K) -> Da
     """(keys, sketch) with one sketch per group, for fine groups such as days, of which there are very many.
 
     Rows move once, sorted by group, and each group's values stream through one sketch. Groups with more than :data:`SPLIT`
-    values are few by their nature (at most rows / SPLIT, which bounds what is broadcast); their rows are dealt to
-    several tasks, whose sketches are then merged. Nulls and NaN are treated as in :func:`partial_sketches`.
+    values are dealt row by row to several tasks, whatever their values, and the sketches of these are then merged. The list of such groups is joined as its size
+    suggests, not broadcast by force. Nulls and NaN are treated as in :func:`partial_sketches`.
     """
     ws = Workspace(df.sparkSession, "sketches")
     rows = ws.cut(df.select(*keys, F.col(value).cast("double").alias("__value")).filter(F.col("__value").isNotNull() & ~F.isnan("__value")), "values")
@@ -207,7 +207,9 @@ def group_sketches(df: DataFrame, keys: list[str], value: str, k: int = K) -> Da
     on = F.lit(True)
     for c, n in zip(keys, names):
         on = on & F.col(c).eqNullSafe(F.col(n))
-    dealt = rows.join(F.broadcast(hot), on, "left").select(*keys, "__value", F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64("__value"), F.col("__parts")) + 1).otherwise(0).cast("int").alias("__part"))
+    # a row's number in its task of the written table is the same whenever that task runs again
+    dealt = rows.withColumn("__row", F.monotonically_increasing_id()).join(hot, on, "left")
+    dealt = dealt.select(*keys, "__value", F.when(F.col("__parts").isNotNull(), F.pmod("__row", F.col("__parts")) + 1).otherwise(0).cast("int").alias("__part"))
     group = [*keys, "__part"]
 
     def run(batches):
@@ -324,3 +326,23 @@ def read_percentiles(df: DataFrame, percentiles: dict[str, float] = PERCENTILES,
             yield pd.concat([pdf[keys], got, pdf[more]], axis=1)
 
     return df.mapInPandas(run, schema)
+
+
+def check_bounds(sketches: DataFrame, rows: DataFrame, keys: list[str], sets: dict[str, list[str]], value: str, k: int = K, percentiles: dict[str, float] = PERCENTILES) -> DataFrame:
+    """(grouping, keys, n, compacted, percentile, within): whether the rank of each percentile lies within the stated bound, by counts over all rows.
+
+    ``sketches`` are :func:`roll_up`'s, ``rows`` what they were made of, without null and NaN. A report has as many rows as there are groups and percentiles.
+    """
+    got = read_percentiles(sketches, percentiles)
+    each = F.array(*[F.struct(F.lit(name).alias("grouping"), *[(F.col(c) if c in wanted else F.lit(None).cast(dict(rows.dtypes)[c])).alias(c) for c in keys]) for name, wanted in sets.items()])
+    # equal values of a group are one row from here on
+    values = rows.select(F.explode(each).alias("__g"), F.col(value).alias("__v")).groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__n"))
+    values = values.select(*[F.col(f"__g.{c}").alias(f"__{c}") for c in ("grouping", *keys)], "__v", "__n")
+    on = F.col("grouping") == F.col("__grouping")
+    for c in keys:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    counts = [f(F.when(cond, F.col("__n")).otherwise(0)).alias(f"{side}_{p}") for p in percentiles for f, side, cond in ((F.sum, "low", F.col("__v") < F.col(p)), (F.sum, "high", F.col("__v") <= F.col(p)))]
+    ranked = got.join(values, on).groupBy("grouping", *keys, "n", "rank_error").agg(*counts)
+    wants = {p: F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n") - 1e-9)) for p, q in percentiles.items()}
+    within = [F.struct(F.lit(p).alias("percentile"), (F.greatest(F.col(f"low_{p}") + 1 - wants[p], wants[p] - F.col(f"high_{p}"), F.lit(0)) <= F.lit(rank_error(k) * (1 - q)) * F.col("n") + 1).alias("within")) for p, q in percentiles.items()]
+    return ranked.select("grouping", *keys, "n", (F.col("rank_error") > 0).alias("compacted"), F.inline(F.array(*within)))
