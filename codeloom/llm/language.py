@@ -6,15 +6,18 @@ lexicon of function words and scripts, transitions learned, marginals by forward
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 import unicodedata
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.plans.cut import read_bytes, write_bytes
 from codeloom.plans.spread import spread
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pt", "ru", "zh")
@@ -22,6 +25,10 @@ LANGUAGES = ("de", "en", "es", "fr", "it", "ja", "nl", "pt", "ru", "zh")
 SAMPLE = 6000
 PER_LANGUAGE = 300
 SAMPLE_CHARS = 3000
+#: Words of a sentence and of a chain, and sentences, that the fit takes at most; labels are given to whole texts.
+SENTENCE_WORDS, CHAIN_WORDS, SENTENCES = 80, 400, 25_000
+#: Notations of labels that are counted for the shares of the sample, the most frequent first.
+NOTATIONS = 2000
 BUCKETS = 1 << 16
 #: A sentence's language needs this mean marginal to count as found.
 MIN_CONFIDENCE = 0.5
@@ -81,7 +88,10 @@ def sentences(text: str | None) -> list[tuple[str, list[str], bool]]:
         text = _FENCE.sub("\n\n", text)
     if not text.isascii():
         text = _INVISIBLE.sub("", unicodedata.normalize("NFC", text))
-    text = _LINK.sub(" ", _SPAN.sub(" ", text))
+    if "`" in text:
+        text = _SPAN.sub(" ", text)
+    if "<" in text or "@" in text or "&" in text or "://" in text:
+        text = _LINK.sub(" ", text)
     out, block = [], []
 
     def close():
@@ -90,11 +100,11 @@ def sentences(text: str | None) -> list[tuple[str, list[str], bool]]:
             block.clear()
 
     for line in text.split("\n"):
-        bare = _MARK.sub("", line)
+        head = line.lstrip(" \t")[:1]
+        bare = line if head.isalpha() else _MARK.sub("", line)
         if bare != line:
             close()
-        bare = _PREFIX.sub("", bare)
-        inner = _MARK.sub("", bare)
+        inner = _MARK.sub("", _PREFIX.sub("", bare)) if ":" in bare or bare != line else bare
         if not inner.strip() or _NOT_PROSE.match(inner) or _CODE_LINE.search(inner):
             close()
             continue
@@ -105,10 +115,14 @@ def sentences(text: str | None) -> list[tuple[str, list[str], bool]]:
     found = []
     for s in out:
         s = s.strip()
-        words = [w.lower() for w in _WORD.findall(_IDENTIFIER.sub(" ", s))]
+        if s.isascii():
+            words = _WORD.findall(_IDENTIFIER.sub(" ", s).lower())
+            cjk = 0
+        else:
+            words = [w.lower() for w in _WORD.findall(_IDENTIFIER.sub(" ", s))]
+            cjk = sum(1 for w in words if len(w) == 1 and _CJK.match(w))
         if not words:
             continue
-        cjk = sum(1 for w in words if len(w) == 1 and _CJK.match(w))
         full = bool(_FULL.search(s)) and (len(words) - cjk >= 3 or cjk >= 5)
         found.append((s, words, full))
     return found
@@ -224,8 +238,6 @@ def _script(w: str) -> str:
 
 def features(w: str) -> list[int]:
     """Hashed features of a lower-case word: itself, affixes, character n-grams, lexicon, script."""
-    if len(w) > 40:
-        w = w[:20] + w[-20:]  # of a word that long, the ends tell all that affixes can
     box = f"^{w}$"
     names = ["b", "s" + _script(w), "w" + w]
     names += [f"p{w[:k]}" for k in (1, 2, 3) if len(w) > k] + [f"e{w[-k:]}" for k in (1, 2, 3, 4) if len(w) > k]
@@ -241,53 +253,58 @@ class Field:
         n = len(LANGUAGES)
         self.w = np.zeros((BUCKETS, n), np.float32)
         self.t = np.zeros((n, n))
-        self.cache: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(LANGUAGES)), np.float32)
 
     def __getstate__(self):
         return self.w, self.t
 
     def __setstate__(self, state):
         self.w, self.t = state
-        self.cache = {}
+        self._forget()
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores of words; those of a word are kept, as they don't depend on its neighbours."""
-        cache = self.cache
-        if len(cache) > 150_000:
-            cache.clear()
-        rows = []
-        for w in words:
-            row = cache.get(w)
-            if row is None:
-                row = cache[w] = self.w[features(w)].sum(0).astype(np.float64)
-            rows.append(row)
-        return np.stack(rows)
-
-    def marginals(self, e: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Forward-backward over a padded batch (sequences, time, languages): word marginals, expected transitions, log Z."""
+        if len(self.place) > 150_000:
+            self._forget()
+        place = self.place
+        for w in set(words):
+            if w not in place:
+                i = place[w] = len(place)
+                if i >= len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.rows[i] = self.w[features(w)].sum(0)
+        return self.rows[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
+
+    def marginals(self, e: np.ndarray, lengths: np.ndarray, count: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward-backward over a padded batch (sequences, time, languages): word marginals, expected transitions (with ``count``), log Z."""
         b, steps, n = e.shape
-        grow = np.exp(self.t)
+        grow = np.exp(self.t).astype(e.dtype)
         shift = e.max(2, keepdims=True)
         x = np.exp(e - shift)
-        alpha, scale = np.empty_like(x), np.ones((b, steps))
+        alpha, scale = np.empty_like(x), np.ones((b, steps), e.dtype)
         a = x[:, 0]
         for i in range(steps):
             if i:
                 a = (alpha[:, i - 1] @ grow) * x[:, i]
             scale[:, i] = z = a.sum(1)
             alpha[:, i] = a / z[:, None]
-        beta = np.ones((b, n))
+        beta = np.ones((b, n), e.dtype)
         out = np.empty_like(x)
         moves = np.zeros((n, n))
         for i in range(steps - 1, -1, -1):
             last = (i >= lengths - 1)[:, None]
-            beta = np.where(last, 1.0, beta)
+            beta[last[:, 0]] = 1
             p = alpha[:, i] * beta
             out[:, i] = p / p.sum(1, keepdims=True)
             if i:
                 ahead = beta * x[:, i] / scale[:, i][:, None]
-                live = (i < lengths)[:, None]
-                moves += grow * ((alpha[:, i - 1] * live).T @ ahead)
+                if count:
+                    live = (i < lengths)[:, None]
+                    moves += grow * ((alpha[:, i - 1] * live).T @ ahead)
                 beta = ahead @ grow.T
         inside = np.arange(steps)[None, :] < lengths[:, None]
         return out, moves, (np.where(inside, np.log(scale) + shift[:, :, 0], 0)).sum(1)
@@ -297,15 +314,15 @@ class Field:
         order = sorted((i for i, f in enumerate(flat) if f), key=lambda i: len(flat[i]))
         at = 0
         while at < len(order):
-            longest = len(flat[order[min(len(order) - 1, at + 255)]])
-            size = max(1, min(256, 200_000 // max(1, longest)))
+            longest = len(flat[order[min(len(order) - 1, at + 1023)]])
+            size = max(1, min(1024, 200_000 // max(1, longest)))
             part = order[at:at + size]
             at += size
             lengths = np.array([len(flat[i]) for i in part])
-            e = np.zeros((len(part), int(lengths.max()), len(LANGUAGES)))
-            for row, i in enumerate(part):
-                e[row, :lengths[row]] = self.emissions(flat[i])
-            p, _, _ = self.marginals(e, lengths)
+            inside = np.arange(int(lengths.max()))[None, :] < lengths[:, None]
+            e = np.zeros((*inside.shape, len(LANGUAGES)), np.float32)
+            e[inside] = self.emissions([w for i in part for w in flat[i]])
+            p, _, _ = self.marginals(e, lengths, False)
             for row, i in enumerate(part):
                 yield i, p[row, :lengths[row]]
 
@@ -313,12 +330,11 @@ class Field:
         """Per document, per sentence: language and confidence (the mean marginal of its words), the chain running through the document."""
         out: list[list[tuple[str, float]]] = [[] for _ in texts]
         for i, p in self.words([[w for s in t for w in s] for t in texts]):
-            pos = 0
-            for s in texts[i]:
-                mean = p[pos:pos + len(s)].mean(0)
-                k = int(mean.argmax())
-                out[i].append((LANGUAGES[k], float(mean[k])))
-                pos += len(s)
+            sizes = np.array([len(s) for s in texts[i]])
+            filled = np.flatnonzero(sizes)
+            means = np.add.reduceat(p, (np.cumsum(sizes) - sizes)[filled], axis=0) / sizes[filled][:, None]
+            best = means.argmax(1)
+            out[i] = [(LANGUAGES[k], float(m[k])) for k, m in zip(best.tolist(), means)]
         return out
 
     def runs(self, flat: list[list[str]]) -> list[list[tuple[int, int, str, float]]]:
@@ -338,7 +354,10 @@ class Field:
         rng = np.random.default_rng(seed)
         n = len(LANGUAGES)
         labels = [k for _, k in labelled]
-        feats = {}
+        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in labelled for w in words))}
+        feats = [np.array(features(w)) for w in vocabulary]
+        many = np.array([len(f) for f in feats])
+        numbered = [np.array([vocabulary[w] for w in words]) for words, _ in labelled]
         gw, gt = np.full((BUCKETS, n), 1e-2, np.float32), np.full((n, n), 1e-2)
         by = {k: [i for i, y in enumerate(labels) if y == k] for k in range(n)}
         for _ in range(epochs):
@@ -351,41 +370,33 @@ class Field:
                 chains.append(chain)
                 i += 1
             for at in range(0, len(chains), 64):
-                words = [[w for i in c for w in labelled[i][0]][:400] for c in chains[at:at + 64]]
-                gold = [[labels[i] for i in c for _ in labelled[i][0]][:400] for c in chains[at:at + 64]]
+                words = [np.concatenate([numbered[i] for i in c])[:CHAIN_WORDS] for c in chains[at:at + 64]]
+                gold = [np.concatenate([np.full(len(numbered[i]), labels[i]) for i in c])[:CHAIN_WORDS] for c in chains[at:at + 64]]
                 lengths = np.array([len(x) for x in words])
-                ids, owner, rows = [], [], []
-                k = 0
-                for x in words:
-                    for w in x:
-                        f = feats.get(w)
-                        if f is None:
-                            f = feats[w] = np.array(features(w))
-                        ids.append(f)
-                        owner.append(len(f))
-                        k += 1
-                flat = np.concatenate(ids)
-                which = np.repeat(np.arange(k), owner)
-                starts = np.concatenate([[0], np.cumsum(owner)[:-1]])
-                scores = np.add.reduceat(self.w[flat].astype(np.float64), starts, axis=0)
-                e = np.zeros((len(words), int(lengths.max()), n))
-                mask = np.arange(e.shape[1])[None, :] < lengths[:, None]
-                e[mask] = scores
+                # a word's score and gradient are the same wherever it stands
+                used, which = np.unique(np.concatenate(words), return_inverse=True)
+                flat = np.concatenate([feats[i] for i in used])
+                owner = np.repeat(np.arange(len(used)), many[used])
+                scores = np.add.reduceat(self.w[flat].astype(np.float64), np.cumsum(many[used]) - many[used], axis=0)
+                mask = np.arange(int(lengths.max()))[None, :] < lengths[:, None]
+                e = np.zeros((*mask.shape, n))
+                e[mask] = scores[which]
                 p, moves, _ = self.marginals(e, lengths)
                 y = np.concatenate(gold)
                 delta = p[mask]
-                delta[np.arange(k), y] -= 1
+                delta[np.arange(len(y)), y] -= 1
                 seen = np.zeros((n, n))
                 for g in gold:
                     np.add.at(seen, (g[:-1], g[1:]), 1)
+                mine = np.stack([np.bincount(which, weights=delta[:, j], minlength=len(used)) for j in range(n)], 1)
                 touched, back = np.unique(flat, return_inverse=True)
-                grad = np.stack([np.bincount(back, weights=delta[which, j], minlength=len(touched)) for j in range(n)], 1) / len(words)
+                grad = np.stack([np.bincount(back, weights=mine[owner, j], minlength=len(touched)) for j in range(n)], 1) / len(words)
                 gw[touched] += grad**2
                 self.w[touched] -= (0.3 * grad / np.sqrt(gw[touched])).astype(np.float32)
                 step = (moves - seen) / len(words)
                 gt += step**2
                 self.t -= 0.2 * step / np.sqrt(gt)
-        self.cache = {}
+        self._forget()
         return self
 
 
@@ -434,7 +445,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, per_language: int = 1000)
         for _, words, full in sentences(text[:SAMPLE_CHARS]):
             if not full:
                 continue
-            words = words[:80]
+            words = words[:SENTENCE_WORDS]
             pool.append(words)
             votes = vote(words)
             best = max(votes)
@@ -454,7 +465,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7, per_language: int = 1000)
         return kept
 
     field = Field().fit(even(first) + seeds, epochs=2, seed=seed)
-    pool = [pool[i] for i in rng.permutation(len(pool))[:25_000]]
+    pool = [pool[i] for i in rng.permutation(len(pool))[:SENTENCES]]
     sure = [(words, LANGUAGES.index(lang)) for words, ((lang, mean),) in zip(pool, field.label([[w] for w in pool])) if mean > 0.8]
     return Field().fit(even(sure) + seeds, epochs=2, seed=seed)
 
@@ -476,7 +487,7 @@ def sample(docs: DataFrame, key: str, text: str, label: str, total: int = SAMPLE
     """
     rows = docs.select(F.xxhash64(key).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t"), F.col(label).alias("l")).filter(F.length(F.trim("t")) > 20)
     counts: dict[str, int] = {}
-    for raw, n in rows.groupBy("l").count().orderBy(F.desc("count")).limit(2000).collect():  # notations, of which there are few
+    for raw, n in rows.groupBy("l").count().orderBy(F.desc("count")).limit(NOTATIONS).collect():  # notations, of which there are few
         if code := label_code(raw):
             counts[code] = counts.get(code, 0) + n
     if not counts:
@@ -488,6 +499,31 @@ def sample(docs: DataFrame, key: str, text: str, label: str, total: int = SAMPLE
     return [(r.t, r.c) for r in picked.select("h", "t", "c").orderBy("h", "t").limit(total + per_language * len(LANGUAGES)).collect()]
 
 
+_fields: dict[str, Field] = {}
+
+
+def fitted(docs: DataFrame, key: str, text: str, label: str) -> Field:
+    """The field for a corpus: fitted on its :func:`sample` once and saved beside the sample's hash in the shared folder, then loaded."""
+    rows = sample(docs, key, text, label)
+    name = hashlib.sha256(repr((rows, BUCKETS, SENTENCE_WORDS, CHAIN_WORDS, SENTENCES, LEXICON)).encode("utf-8", "replace")).hexdigest()
+    if name not in _fields:
+        spark = docs.sparkSession
+        saved = read_bytes(spark, f"fields/{name}")
+        if saved is None:
+            field = train(rows)
+            held = io.BytesIO()
+            np.savez(held, w=field.w, t=field.t)
+            write_bytes(spark, f"fields/{name}", held.getvalue())
+        else:
+            field = Field()
+            found = np.load(io.BytesIO(saved))
+            field.w, field.t = found["w"], found["t"]
+        if len(_fields) >= 4:
+            _fields.clear()
+        _fields[name] = field
+    return _fields[name]
+
+
 def segment(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", field: Field | None = None) -> DataFrame:
     """One row per document with prose and language in it: key, label_code, lang, sentences, full_sentences, confidence, chars, first.
 
@@ -497,7 +533,7 @@ def segment(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str
     The field is fitted on a bounded sample (about :data:`SAMPLE` documents) unless one is given.
     """
     if field is None:
-        field = train(sample(docs, key, text, label))
+        field = fitted(docs, key, text, label)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     rows = spread(docs.select(key, text, label), key)
     kind = dict(rows.dtypes)[key]
@@ -533,7 +569,7 @@ def stretches(docs: DataFrame, key: str = "doc_id", text: str = "text", label: s
     prose belongs to no run but doesn't end one either. Nulls, repeated rows and the field are treated as in :func:`segment`.
     """
     if field is None:
-        field = train(sample(docs, key, text, label))
+        field = fitted(docs, key, text, label)
     shared = docs.sparkSession.sparkContext.broadcast(field)
     rows = spread(docs.select(key, text, label), key)
     kind = dict(rows.dtypes)[key]
@@ -563,3 +599,16 @@ def mislabelled(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     # a document has at most as many rows here as there are languages
     per = full.groupBy(key).agg(F.collect_list(F.struct("lang", "confidence")).alias("__all"), F.count(F.lit(1)).alias("__n"), F.count_if(F.col("code") == F.col("lang")).alias("__right"))
     return per.filter((F.col("__n") > 1) | (F.col("__right") == 0)).select(key, F.inline("__all"))
+
+
+def check_places(segments: DataFrame, lengths: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, good, inside) of each key of ``lengths`` (key, chars): whether its stretches are numbered without gaps, in order, apart and of a confidence in (0, 1], and whether they lie within the text.
+
+    For keys that stand in one row each; others may have stretches of several texts.
+    """
+    w = Window.partitionBy(key).orderBy("segment")
+    rows = segments.select(key, "segment", "start", "end", "confidence", F.lead("start").over(w).alias("next"), F.lead("segment").over(w).alias("after"))
+    good = (F.col("start") < F.col("end")) & (F.col("start") >= 0) & (F.col("confidence") > 0) & (F.col("confidence") <= 1.0000001) & F.coalesce(F.col("next") >= F.col("end"), F.lit(True)) & F.coalesce(F.col("after") == F.col("segment") + 1, F.lit(True))
+    per = rows.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("stretches"), F.bool_and(good).alias("good"), F.max("end").alias("last"))
+    out = lengths.join(per, F.col(key) == F.col("__k"), "left")
+    return out.select(key, F.coalesce("good", F.lit(True)).alias("good"), (F.coalesce("last", F.lit(0)) <= F.coalesce("chars", F.lit(0))).alias("inside"))
