@@ -49,6 +49,22 @@ def p2_weeks(spark, d):
     return quantiles.read_percentiles(quantiles.merge_sketches(weeks, ["tool_name", "week"]))
 
 
+#: Section size of the sketches that p2_bounds checks: so small that most groups of the test data compact, many times.
+BOUNDS_K = 16
+
+
+def p2_bounds(spark, d):
+    """Whether each percentile by tool, workspace and over all lies within the stated error of its true rank, and whether its sketch has compacted.
+
+    Sketches with sections of 16 instead of 64, so that groups from 96 values on compact; ranks are counted over all values.
+    """
+    keys = ["tool_name", "workspace_id"]
+    calls = _calls(spark, d, *keys, "duration_ms")
+    fine = quantiles.merge_sketches(quantiles.partial_sketches(calls, keys, "duration_ms", BOUNDS_K), keys)
+    sets = {"tool": ["tool_name"], "workspace": ["workspace_id"], "all": []}
+    return quantiles.check_bounds(quantiles.roll_up(fine, keys, sets), calls.filter("duration_ms is not null and not isnan(duration_ms)"), keys, sets, "duration_ms", BOUNDS_K)
+
+
 def p4_found(spark, d):
     return syntax.check_syntax(table(spark, d, "files")).filter(~F.col("valid")).select("path")
 
@@ -62,6 +78,11 @@ def p4_rates(spark, d):
     return syntax.rates(syntax.check_syntax(table(spark, d, "files")))
 
 
+def p4_json(spark, d):
+    """The verdict on every JSON file."""
+    return syntax.check_syntax(table(spark, d, "files")).filter("language = 'json' and valid is not null").select("path", "valid")
+
+
 def p5_found(spark, d):
     return generated.classify(table(spark, d, "files")).filter("reason is not null").select("path")
 
@@ -71,8 +92,13 @@ def p5_layout(spark, d):
     return generated.classify(table(spark, d, "files"))
 
 
+def p5_statistics(spark, d):
+    """The layout statistics that plain SQL can count too."""
+    return generated.classify(table(spark, d, "files")).select("path", "chars", "lines", "max_line", "space_share", "alnum_share")
+
+
 def p7_found(spark, d):
-    return functions.documented_functions(table(spark, d, "symbols")).select("symbol_id")
+    return functions.documented_functions(table(spark, d, "symbols"), texts=False).select("symbol_id")
 
 
 def p7_pairs(spark, d):
@@ -89,6 +115,12 @@ def p8_ids(spark, d):
     return bpe.encode(table(spark, d, "documents"))
 
 
+def p8_roundtrip(spark, d):
+    """Per document the bytes of its text and whether its ids spell it again."""
+    docs = table(spark, d, "documents")
+    return bpe.roundtrip(bpe.encode(docs.select("doc_id", "text"), keep_text=True))
+
+
 def _packed(spark, d):
     sizes = bpe.encode(table(spark, d, "documents"), counts_only=True)
     return packing.pack(sizes)
@@ -107,6 +139,16 @@ def p9_steps(spark, d):
     return packing.step_report(_packed(spark, d))
 
 
+#: Capacity of p9_lengths, in characters.
+LENGTHS_CAPACITY = 4096
+
+
+def p9_lengths(spark, d):
+    """The same packing by lengths in characters, checked as a whole: pieces, their sum, faults, and whether unused space is within 1 % of the least possible."""
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("tokens"))
+    return packing.check(packing.pack(docs, capacity=LENGTHS_CAPACITY), LENGTHS_CAPACITY)
+
+
 def p10_found(spark, d):
     return language.mislabelled(language.segment(table(spark, d, "documents"))).select("doc_id", "lang")
 
@@ -116,4 +158,16 @@ def p10_segments(spark, d):
     return language.stretches(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_percentiles, p2_days, p2_sketches, p2_weeks, p4_found, p4_report, p4_rates, p5_found, p5_layout, p7_found, p7_pairs, p7_functions, p8_ids, p9_pack, p9_fill, p9_steps, p10_found, p10_segments)}
+def p10_places(spark, d):
+    """Per document whether its stretches are in order, apart and of a confidence between 0 and 1, and whether they lie within the text."""
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("chars")).groupBy("doc_id").agg(F.max("chars").alias("chars"))
+    return language.check_places(language.stretches(table(spark, d, "documents")), docs)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_percentiles, p2_days, p2_sketches, p2_weeks, p2_bounds, p4_found, p4_report, p4_rates, p4_json, p5_found, p5_layout, p5_statistics,
+        p7_found, p7_pairs, p7_functions, p8_ids, p8_roundtrip, p9_pack, p9_fill, p9_steps, p9_lengths, p10_found, p10_segments, p10_places,
+    )
+}
