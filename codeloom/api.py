@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths
-from codeloom.operators import catalog, context, graph, hierarchy, resolve, search, vectors
+from codeloom.operators import analysis, catalog, context, graph, hierarchy, pages, resolve, search, vectors
 from codeloom.sources import catalogue as T
+from codeloom.sources import sinks
 from codeloom.sources.tables import table
 
 
@@ -16,6 +17,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.directory = spark, directory
+        self._pages = pages.Spillover(spark)
 
     def _t(self, name: str) -> DataFrame:
         return table(self.spark, self.directory, name)
@@ -99,3 +101,26 @@ class Engine:
 
     def outline_sets(self) -> DataFrame:
         return hierarchy.nested_sets(self.spark, hierarchy.catalogue_forest({t: self._t(t) for t in hierarchy.CATALOGUE}))
+
+    def workspaces(self) -> DataFrame:
+        """Every workspace with its files, symbols and whether what was derived of it is as new as they are."""
+        files = T.files(self.spark, self.directory, "workspace_id", "symbol_count")
+        state = analysis.freshness(self._t("workspaces"), files)
+        per = files.groupBy("workspace_id").agg(F.sum("symbol_count").alias("symbols"))
+        return state.join(per, "workspace_id", "left").select("workspace_id", "files", F.coalesce("symbols", F.lit(0)).alias("symbols"), "state")
+
+    def index(self, root: str, store: sinks.Store, profile: str = "full_index") -> int:
+        """Scans a folder and publishes its files as the store's next revision, which is all that a refresh needs to compare."""
+        return store.publish({"files": sinks.scan(self.spark, root, profile=profile)}, "index")
+
+    def refresh(self, root: str, store: sinks.Store) -> DataFrame:
+        """How the folder differs from the store's files: (path, state)."""
+        return resolve.changed_files(sinks.scan(self.spark, root), store.read("files"))
+
+    def spill(self, df: DataFrame, owner: str, order: list, title: str = "") -> str:
+        """Keeps a long result; its handle is good for :meth:`page`."""
+        return self._pages.put(df, owner, order, title)
+
+    def page(self, handle: str, owner: str, offset: int = 0, limit: int = 50) -> DataFrame:
+        """J09."""
+        return self._pages.get(handle, owner, offset, limit)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import paths, risk
-from codeloom.functions.text import count_matches
+from codeloom.functions.text import code_only, count_matches, is_placeholder
 
 # What tests are made of, by language-independent patterns, and names that mean something.
 ASSERTIONS = r"\b(assert\w*|expect|require|should\w*|verify)\b\s*!?\s*[.(]|\bassert\s"
@@ -35,6 +35,45 @@ def test_quality(symbols: DataFrame) -> DataFrame:
     return t.withColumn("tier", risk.quality_tier(F.col("assertions"), F.col("mocks"), F.col("errors")))
 
 
+# Names that are evidence of a test, by language.
+EVIDENCE = {
+    "python": {"assertions": ("assert", "assertequal", "asserttrue", "assertfalse", "assertin", "assertisnone", "assertraises"), "errors": ("assertraises", "pytest.raises"), "mocks": ("mock", "magicmock", "patch", "mock_open")},
+    "rust": {"assertions": ("assert_eq", "assert_ne", "assert", "assert_matches", "debug_assert"), "errors": ("should_err", "should_panic"), "mocks": ()},
+    "java": {"assertions": ("assertequals", "asserttrue", "assertfalse", "assertnull", "assertnotnull", "assertthrows", "assertthat"), "errors": ("assertthrows",), "mocks": ("mock", "spy", "when", "verify")},
+}
+
+
+def call_evidence(uses: DataFrame) -> DataFrame:
+    """Per container the calls that are assertions, error checks and mocks in its language; only containers with a call have a row. Names count in either case."""
+    def is_in(kind: str):
+        out = F.lit(False)
+        for language, sets in EVIDENCE.items():
+            if sets[kind]:
+                out = out | ((F.col("language") == language) & F.lower("name").isin(*sets[kind]))
+        return out
+
+    calls = uses.filter((F.col("kind") == "call") & F.col("containing_symbol_id").isNotNull())
+    return calls.groupBy(F.col("containing_symbol_id").alias("id")).agg(*[F.count_if(is_in(k)).cast("int").alias(k) for k in ("assertions", "errors", "mocks")])
+
+
+def assess_tests(symbols: DataFrame, uses: DataFrame) -> DataFrame:
+    """(id, assertions, errors, mocks, tier, evidence, confidence) of test functions.
+
+    A body that is a placeholder is a stub at once; names of calls are evidence where a language has them, else patterns over the code without comments and strings
+    are (with less confidence). Symbols outside tests, other kinds and helpers by convention have no row.
+    """
+    t = symbols.filter(F.col("kind").isin("function", "method") & F.col("code_context").isNotNull())
+    t = t.withColumn("role", test_role(F.col("name"), F.col("kind"), F.col("file_path"))).filter(F.col("role") == "test_case")
+    t = t.join(call_evidence(uses).withColumnRenamed("assertions", "ca").withColumnRenamed("errors", "ce").withColumnRenamed("mocks", "cm"), "id", "left")
+    body = code_only(F.col("code_context"))
+    empty = is_placeholder(F.col("code_context"))
+    named = F.coalesce(F.col("ca") + F.col("ce") + F.col("cm") > 0, F.lit(False))
+    pick = lambda c, pattern: F.when(empty, 0).when(named, F.col(c)).otherwise(count_matches(body, pattern)).cast("int")
+    rows = t.select("id", pick("ca", ASSERTIONS).alias("assertions"), pick("ce", ERRORS).alias("errors"), pick("cm", MOCKS).alias("mocks"), F.when(empty, "placeholder").when(named, "calls").otherwise("patterns").alias("evidence"))
+    tier = F.when(F.col("evidence") == "placeholder", "stub").otherwise(risk.quality_tier(F.col("assertions"), F.col("mocks"), F.col("errors") > 0))
+    return rows.withColumn("tier", tier).withColumn("confidence", F.when(F.col("evidence") == "patterns", 0.5).otherwise(1.0))
+
+
 def test_role(name: Column, kind: Column, path: Column) -> Column:
     """H37 by convention, as the tables hold no annotations: container, set-up, tear-down, case, helper; null outside tests."""
     n = F.lower(name)

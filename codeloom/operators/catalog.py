@@ -195,3 +195,60 @@ def symbol_lookup(symbols: DataFrame, name: str) -> DataFrame:
     rows = rows.withColumn("tier", F.when(F.col("name") == name, 0).when(F.col("owned"), 1).otherwise(2))
     least = rows.agg(F.min("tier").alias("least"))
     return rows.crossJoin(F.broadcast(least)).filter("tier = least").drop("owned", "least")
+
+
+def limit_roots(sets: DataFrame, group: DataFrame, limit: int) -> DataFrame:
+    """(grp, node) of the first ``limit`` roots of each group with all their descendants.
+
+    ``sets`` are nested sets; ``group`` gives (node, grp, place) of the roots' order. Descendants follow by the root's name alone, whatever their depth.
+    """
+    tops = sets.filter(F.col("depth") == 0).select("node").join(group, "node")
+    w = Window.partitionBy("grp").orderBy("place", "node")
+    kept = tops.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= limit).select(F.col("node").alias("__root"), "grp")
+    return sets.join(kept, F.col("root") == F.col("__root")).select("grp", "node")
+
+
+def order_pivots(df: DataFrame, limit: int) -> DataFrame:
+    """The first pivots by score, code before the rest, name, path and id, with their rank. Columns needed: id, name, path, score, is_code."""
+    top = df.orderBy(F.desc("score"), F.desc("is_code"), "name", "path", "id").limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("is_code"), "name", "path", "id")))
+
+
+def pivot_counts(df: DataFrame, group: str, score: str) -> DataFrame:
+    """E06 for many requests at once: (group, pivots): one if the first score is twice the second, three if the third is at least 0.7 of the first, else two; never more than there are."""
+    w = Window.partitionBy(group).orderBy(F.desc(score))
+    top = df.filter(F.col(score).isNotNull()).select(group, score, F.row_number().over(w).alias("__r")).filter(F.col("__r") <= 3)
+    place = lambda i: F.max(F.when(F.col("__r") == i, F.col(score)))
+    per = top.groupBy(group).agg(place(1).alias("a"), place(2).alias("b"), place(3).alias("c"))
+    return per.select(group, F.when(F.col("b").isNull() | (F.col("a") >= 2 * F.col("b")), 1).when(F.col("c") >= 0.7 * F.col("a"), 3).otherwise(2).alias("pivots"))
+
+
+def pattern_ids(observed: DataFrame, text: str, column: str = "pattern") -> DataFrame:
+    """The observed patterns (pattern, n) of exactly that id, else those that hold the text in either case, else all: the first tier that holds any, in one plan."""
+    low = F.lower(column)
+    rows = observed.withColumn("tier", F.when(F.col(column) == text, 0).when(low.contains(text.lower()), 1).otherwise(2))
+    least = rows.agg(F.min("tier").alias("least"))
+    return rows.crossJoin(F.broadcast(least)).filter("tier = least").drop("least")
+
+
+def failing_links(linked: DataFrame, failing: list[str], leaves: list[str], paths_column: str = "linked_test_paths", names_column: str = "linked_tests") -> DataFrame:
+    """Rows whose JSON arrays of linked tests meet failing tests: a path that ends one with the other, or a name among the leaves. Null and broken arrays meet none."""
+    hit = F.lit(False)
+    found = F.from_json(paths_column, "array<string>")
+    for f in failing:
+        hit = hit | F.coalesce(F.exists(found, lambda p: (p == f) | p.endswith("/" + f) | F.lit(f).endswith(F.concat(F.lit("/"), p))), F.lit(False))
+    names = F.from_json(names_column, "array<string>")
+    for n in leaves:
+        hit = hit | F.coalesce(F.array_contains(names, n), F.lit(False))
+    return linked.filter(hit)
+
+
+def story_cards(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """One row per card: the largest language, kind and folder's file with its share, and the most referenced symbol."""
+    def top(card: str, df: DataFrame, key: str) -> DataFrame:
+        best = share_of_total(df.filter(F.col(key).isNotNull()), key).agg(F.max_by(F.struct(F.col(key).alias("label"), "n", "share"), F.struct("n", F.col(key))).alias("b"))
+        return best.filter(F.col("b").isNotNull()).select(F.lit(card).alias("card"), F.col("b.label").alias("label"), F.round(F.col("b.share") * 100, 1).alias("percent"))
+
+    star = symbols.filter(F.col("reference_score").isNotNull()).agg(F.max_by("name", F.struct("reference_score", "id")).alias("label"))
+    star = star.select(F.lit("most_referenced").alias("card"), "label", F.lit(None).cast("double").alias("percent"))
+    return top("language", files, "language").unionByName(top("kind", symbols, "kind")).unionByName(top("hotspot", symbols, "file_path")).unionByName(star)

@@ -104,8 +104,14 @@ def unified_diff(before: str, after: str, path: str) -> str:
     return "".join(difflib.unified_diff(before.splitlines(True), after.splitlines(True), f"a/{path}", f"b/{path}"))
 
 
+#: Characters of a text up to which it is searched for with slips, and how like it a place must be.
+FUZZY_CHARS, FUZZY_RATIO = 32, 0.8
+
+
 def edit(text: str, old: str, new: str, occurrence: str = "first") -> str:
-    """Exact, else line by line without outer space; the first, last or every occurrence. Raises ValueError if it isn't there."""
+    """Exact, else line by line without outer space, else (short texts) the place that is most like it; the first, last or every occurrence. Raises ValueError if it isn't there."""
+    if not old:
+        raise ValueError("nothing to replace")
     if old in text:
         if occurrence == "all":
             return text.replace(old, new)
@@ -113,11 +119,16 @@ def edit(text: str, old: str, new: str, occurrence: str = "first") -> str:
         return text[:at] + new + text[at + len(old):]
     lines, want = text.split("\n"), [x.strip() for x in old.split("\n")]
     hits = [i for i in range(len(lines) - len(want) + 1) if [x.strip() for x in lines[i:i + len(want)]] == want]
-    if not hits:
-        raise ValueError("the text to replace isn't there")
-    for i in reversed(hits if occurrence == "all" else [hits[0] if occurrence == "first" else hits[-1]]):
-        lines[i:i + len(want)] = new.split("\n")
-    return "\n".join(lines)
+    if hits:
+        for i in reversed(hits if occurrence == "all" else [hits[0] if occurrence == "first" else hits[-1]]):
+            lines[i:i + len(want)] = new.split("\n")
+        return "\n".join(lines)
+    if len(old) <= FUZZY_CHARS:
+        like = [(difflib.SequenceMatcher(None, old, text[i:i + len(old)], autojunk=False).ratio(), -i) for i in range(max(1, len(text) - len(old) + 1))]
+        best, place = max(like)
+        if best >= FUZZY_RATIO:
+            return text[:-place] + new + text[-place + len(old):]
+    raise ValueError("the text to replace isn't there")
 
 
 def rename(text: str, old: str, new: str) -> str:
@@ -125,11 +136,43 @@ def rename(text: str, old: str, new: str) -> str:
     return re.sub(rf"(?<![\w$]){re.escape(old)}(?![\w$])", new, text)
 
 
-def rewrite_span(text: str, start: int, end: int, body: str, operation: str = "replace") -> str:
-    """Replaces a symbol's bytes, or puts text before or after them."""
-    raw = text.encode()
-    a, b, c = raw[:start].decode(), raw[start:end].decode(), raw[end:].decode()
-    return {"replace": a + body + c, "insert_before": a + body + b + c, "insert_after": a + b + body + c, "delete": a + c}[operation]
+OPERATIONS = ("replace_full", "replace_body", "replace_signature", "insert_before", "insert_after", "add_doc")
+
+
+def rewrite_span(text: str, start: int, end: int, body: str, operation: str = "replace_full", body_start: int | None = None, body_end: int | None = None) -> str:
+    """Replaces a symbol's bytes, its body's or what comes before its body, or puts text before or after it, or a comment before its line.
+
+    Places are UTF-8 bytes. ValueError for an unknown operation, or for one on the body of a symbol that has none.
+    """
+    if operation not in OPERATIONS:
+        raise ValueError(operation)
+    if operation in ("replace_body", "replace_signature") and (body_start is None or body_end is None):
+        raise ValueError(f"{operation} needs a body")
+    raw, new = text.encode(), body.encode()
+    if operation == "add_doc":
+        line = raw.rfind(b"\n", 0, start) + 1
+        indent = raw[line:start] if raw[line:start].isspace() else b""
+        new = b"".join(indent + x + b"\n" for x in new.split(b"\n"))
+        start = end = line
+    elif operation == "replace_body":
+        start, end = body_start, body_end
+    elif operation == "replace_signature":
+        end = body_start
+    elif operation == "insert_before":
+        end = start
+    elif operation == "insert_after":
+        start = end
+    return (raw[:start] + new + raw[end:]).decode()
+
+
+def rename_in_files(files, uses, old: str, new: str):
+    """J12 over the catalogue: (path, content, replaced) of every file that refers to a name (uses: name, file_path), with the name replaced wherever it stands as a whole word."""
+    from pyspark.sql import functions as F
+
+    pattern = rf"\b{re.escape(old)}\b"
+    touched = uses.filter(F.col("name") == old).select(F.col("file_path").alias("path")).distinct()
+    rows = files.filter(F.col("content").isNotNull()).join(touched, "path", "left_semi").withColumn("replaced", F.regexp_count("content", F.lit(pattern)))
+    return rows.filter("replaced > 0").select("path", F.regexp_replace("content", pattern, new.replace("\\", "\\\\").replace("$", "\\$")).alias("content"), "replaced")
 
 
 def smart_truncate(lines: list[str], most: int) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.paths import directory, is_test_path
@@ -40,6 +40,12 @@ def resolve_calls(pending: DataFrame, symbols: DataFrame) -> DataFrame:
     return joined.select("u.use_id", F.col("f.b.id").alias("symbol_id"), F.greatest(F.lit(0), F.col("f.b.score")).cast("int").alias("score"))
 
 
+def first_names(pairs: DataFrame, group: str, name: str, most: int) -> DataFrame:
+    """The first ``most`` distinct names of each group; the rank filter cuts each task's rows before they meet."""
+    w = Window.partitionBy(group).orderBy(name)
+    return pairs.distinct().withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most).drop("__r")
+
+
 def unique_names(symbols: DataFrame) -> DataFrame:
     """Names that one symbol alone has, with its id."""
     return symbols.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter((F.col("n") == 1) & F.col("name").isNotNull()).select("name", "id")
@@ -65,8 +71,7 @@ def link_tests(symbols: DataFrame, uses: DataFrame) -> DataFrame:
     open_calls = calls.filter(F.coalesce(F.trim("target_symbol_id"), F.lit("")) == "").select("name", "language", "test_id", "test_name")
     by_name = open_calls.join(named, ["name", "language"]).select("prod_id", "test_id", "test_name", F.lit("name").alias("source"))
     pairs = by_id.unionByName(by_name).distinct()
-    # five names are kept per group, whatever its size
-    first = pairs.select("prod_id", "test_name").distinct().groupBy("prod_id").agg(F.slice(F.array_sort(F.collect_set("test_name")), 1, 5).alias("names"))
+    first = first_names(pairs.select("prod_id", "test_name"), "prod_id", "test_name", 5).groupBy("prod_id").agg(F.array_sort(F.collect_list("test_name")).alias("names"))
     counted = pairs.groupBy("prod_id").agg(F.count_distinct("test_id").alias("tests"), F.array_sort(F.collect_set("source")).alias("sources"))
     return counted.join(first, "prod_id").select(F.col("prod_id").alias("id"), "tests", F.array_join("sources", ",").alias("sources"), F.array_join("names", ",").alias("names"))
 
@@ -75,8 +80,9 @@ def partner_names(edges: DataFrame, symbols: DataFrame, max_bytes: int = 2000) -
     """C17: the names next to each symbol in either direction, distinct, sorted and joined, within a byte limit."""
     ends = edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("other")).unionByName(edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("other"))).distinct()
     named = ends.join(symbols.select(F.col("id").alias("other"), "name"), "other").filter(F.col("name").isNotNull())
-    text = F.array_join(F.array_sort(F.collect_set("name")), " ")
-    return named.select("id", "name").distinct().groupBy("id").agg(text.alias("partners")).withColumn("partners", F.when(F.octet_length("partners") <= max_bytes, F.col("partners")).otherwise(F.regexp_replace(F.substring("partners", 1, max_bytes), r" \S*$", "")))
+    text = F.array_join(F.array_sort(F.collect_list("name")), " ")
+    # a name and its blank take two bytes at least, so later names can't be within the limit
+    return first_names(named.select("id", "name"), "id", "name", max_bytes // 2 + 2).groupBy("id").agg(text.alias("partners")).withColumn("partners", F.when(F.octet_length("partners") <= max_bytes, F.col("partners")).otherwise(F.regexp_replace(F.substring("partners", 1, max_bytes), r" \S*$", "")))
 
 
 def callee_map(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -126,10 +132,10 @@ def match_routes(calls: DataFrame, handlers: DataFrame, least: float = 0.5) -> D
     fits = fits.filter(F.forall(F.zip_with("parts", "segs", lambda a, b: b.rlike(param) | (a == b)), lambda x: x) & F.col("cv").isNotNull() & (F.col("verb").isNull() | (F.col("verb") == F.col("cv"))))
     best = fits.select("parts", "cv", F.col("confidence").alias("hconf"), "n", "handler")
     hit = c.withColumn("cv", F.upper("verb")).join(best, ["parts", "cv"], "left").withColumn("conf", F.when(F.col("hconf").isNotNull(), F.least("confidence", "hconf")))
-    per = hit.groupBy("id", "verb", "path").agg(F.max(F.struct("conf")).alias("m"), F.collect_list(F.struct("conf", "n", "handler")).alias("all"))
-    tops = F.filter("all", lambda x: x["conf"] == F.col("m.conf"))
-    count = F.aggregate(tops, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    one = F.when((count == 1) & F.col("m.conf").isNotNull(), F.try_element_at(tops, F.lit(1))["handler"])
+    # handlers of equal confidence are folded first, then the highest confidence is taken
+    level = hit.groupBy("id", "verb", "path", "conf").agg(F.sum("n").alias("n"), F.min("handler").alias("handler"))
+    per = level.groupBy("id", "verb", "path").agg(F.max(F.struct("conf", "n", "handler")).alias("m"))
+    one = F.when((F.col("m.n") == 1) & F.col("m.conf").isNotNull(), F.col("m.handler"))
     label = F.when(F.col("verb").isNotNull() & F.col("path").isNotNull(), F.concat_ws(" ", F.upper("verb"), "path")).otherwise(F.coalesce(F.upper("verb"), "path", F.lit("?")))
     return per.select("id", one.alias("handler_id"), F.when(one.isNull(), label).alias("external"), F.col("m.conf").alias("confidence"))
 
@@ -153,7 +159,8 @@ def implementor_map(symbols: DataFrame, edges: DataFrame, most: int = 8) -> Data
     t = symbols.filter(F.col("kind").isin("trait", "interface")).select(F.col("id").alias("to_id"))
     names = symbols.select(F.col("id").alias("from_id"), "name")
     hit = edges.filter(F.col("kind").isin("implements", "extends")).join(t, "to_id", "left_semi").join(names, "from_id", "left")
-    return hit.select("to_id", F.coalesce("name", "from_id").alias("n")).distinct().groupBy(F.col("to_id").alias("id")).agg(F.slice(F.array_sort(F.collect_set("n")), 1, most).alias("implementors"))
+    first = first_names(hit.select("to_id", F.coalesce("name", "from_id").alias("n")), "to_id", "n", most)
+    return first.groupBy(F.col("to_id").alias("id")).agg(F.array_sort(F.collect_list("n")).alias("implementors"))
 
 
 def parent_context(candidates: DataFrame, uses: DataFrame) -> DataFrame:
@@ -162,3 +169,17 @@ def parent_context(candidates: DataFrame, uses: DataFrame) -> DataFrame:
     by_scope = uses.select(F.col("containing_symbol_id").alias("caller_scope"), F.col("name").alias("parent_name")).distinct().withColumn("in_scope", F.lit(True))
     out = candidates.join(by_file, ["caller_file", "parent_name"], "left").join(by_scope, ["caller_scope", "parent_name"], "left")
     return out.withColumn("in_file", F.coalesce("in_file", F.lit(False))).withColumn("in_scope", F.coalesce("in_scope", F.lit(False)))
+
+
+def chase_reexports(pending: DataFrame, reexports: DataFrame, most: int = 8) -> DataFrame:
+    """C11: import paths (id, path) with the path that re-exports (path, target) lead to, at most ``most`` steps; rings and paths without re-export stay as they are.
+
+    Steps are joins with the unique re-exports; of several with one path the least target counts.
+    """
+    step = reexports.filter(F.col("path") != F.col("target")).groupBy(F.col("path").alias("__p")).agg(F.min("target").alias("__t"))
+    out = pending.select("id", "path", F.col("path").alias("now"), F.array("path").alias("seen"), F.lit(False).alias("ring"))
+    for _ in range(most):
+        out = out.join(step, F.col("now") == F.col("__p"), "left")
+        ring = F.col("ring") | F.coalesce(F.array_contains("seen", F.col("__t")), F.lit(False))
+        out = out.select("id", "path", F.coalesce("__t", "now").alias("now"), F.when(F.col("__t").isNotNull() & (F.size("seen") <= most), F.concat("seen", F.array("__t"))).otherwise(F.col("seen")).alias("seen"), ring.alias("ring"))
+    return out.select("id", "path", F.when(F.col("ring"), F.col("path")).otherwise(F.col("now")).alias("resolved"))

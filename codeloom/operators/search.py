@@ -118,7 +118,15 @@ def pretokenized(text: Column) -> Column:
 # The words that route a query, and phrases that stand for others.
 KIND_WORDS = {"function": "function", "method": "method", "class": "class", "struct": "struct", "trait": "trait", "interface": "interface", "enum": "enum", "module": "module", "type": "type"}
 TEST_WORDS = frozenset("test tests spec specs fixture fixtures conftest".split())
-PHRASES = {("call", "trace"): "callers callees stack", ("index", "refresh"): "reindex rebuild backfill", ("semantic", "search"): "relevance ranking retrieval", ("reference", "lookup"): "xref findrefs navigation"}
+PHRASES = {
+    ("workspace", "routing"): ("router", "registry"),
+    ("symbol", "extraction"): ("symbols", "extractor", "indexer"),
+    ("dependency", "graph"): ("references", "imports", "edges"),
+    ("call", "trace"): ("callers", "callees", "stack"),
+    ("index", "refresh"): ("reindex", "rebuild", "backfill"),
+    ("semantic", "search"): ("relevance", "ranking", "retrieval"),
+    ("reference", "lookup"): ("xref", "findrefs", "navigation"),
+}
 
 
 @dataclass
@@ -179,7 +187,7 @@ def parse_query(text: str) -> Query:
     q.terms = [t for t in tokens if not ("_" in t and all(p in tokens for p in t.split("_") if p))]
     if is_natural(text):
         low = [w.lower() for w in words]
-        q.aliases = [a for pair, names in PHRASES.items() if pair in zip(low, low[1:]) for a in names.split() if a not in q.terms]
+        q.aliases = [a for pair, names in PHRASES.items() if pair in zip(low, low[1:]) for a in names if a not in q.terms]
     q.normalized = [n for n in dict.fromkeys(map(normalized_term, q.terms)) if n and n not in q.terms and n not in q.aliases]
     room = 8
     q.aliases = q.aliases[:room]
@@ -435,8 +443,6 @@ def exclude_tests(query: str, file_pattern: str | None = None, explicit: bool |
     return False if has_test_intent(query) else is_natural(query)
 
 
-
-
 def file_scores(files: DataFrame, query: str) -> DataFrame:
     """files whose path holds all of a query's terms: exact path 40, exact name 25, 3 per term of the path."""
     q = query.strip().lower()

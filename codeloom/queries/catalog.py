@@ -261,7 +261,7 @@ def e11_page(spark, d):
     return C.page(T.symbols(spark, d, "name", "file_path"), [F.asc_nulls_last("name"), "file_path", "id"], 200, 100).select("id", "name")
 
 
-_SEG = {k: f"(^|/)({'|'.join(v.split())})(/|$)" for k, v in {"vendor": paths.VENDOR_SEGMENTS, "generated": paths.GENERATED_SEGMENTS, "docs": paths.DOCS_SEGMENTS}.items()}
+_SEG = {k: paths.segment_pattern(v) for k, v in {"vendor": paths.VENDOR_SEGMENTS, "generated": paths.GENERATED_SEGMENTS, "docs": paths.DOCS_SEGMENTS}.items()}
 _ROLE = f"CASE WHEN regexp_matches(path, '{_SEG['vendor']}') THEN 'vendor' WHEN regexp_matches(path, '{_SEG['generated']}') THEN 'generated' WHEN regexp_matches(path, '@TEST@') THEN 'test' WHEN regexp_matches(path, '{_SEG['docs']}') OR language IN ('markdown','json','toml','yaml') THEN 'docs' ELSE 'source' END"
 
 
