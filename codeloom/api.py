@@ -26,16 +26,8 @@ class Engine:
         """Lexical search over symbols. Filters work on the best candidates as the reference's do; ``exact_filters`` applies them before ranking."""
         q = search.parse_query(text)
         docs = T.symbols(self.spark, self.directory, "name", "signature", "doc_comment", "code_context", "kind", "file_path", "language").withColumnRenamed("code_context", "code_body")
-        keep = F.lit(True)
-        if language:
-            keep = keep & (F.col("language") == catalog.language_alias(language))
-        if kind:
-            keep = keep & (F.col("kind") == kind)
-        if file_pattern:
-            keep = keep & catalog.glob(F.col("file_path"), file_pattern)
-        if search.exclude_tests(text, file_pattern, exclude_tests):
-            keep = keep & ~paths.is_test_path(F.col("file_path"))
-        limit = max(1, min(500, limit))
+        keep = catalog.search_filter(language, kind, file_pattern, search.exclude_tests(text, file_pattern, exclude_tests))
+        limit = catalog.clamp(limit)
         fields = {f: search.FIELD_BOOSTS[f] for f in ("name", "signature", "doc_comment", "code_body")}
         source = docs.filter(keep) if exact_filters else docs
         best = search.top_hits(search.bm25(source, "id", fields, [q]), "id", max(search.LEAST_CANDIDATES, search.OVERFETCH * limit))

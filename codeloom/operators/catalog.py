@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.paths import is_fixture_path, is_test_path
 
+#: Rows that a request gets at most.
+MOST = 500
+
 DEFINITION_KINDS = ("class", "struct", "interface", "trait", "enum", "function", "method", "constructor", "module", "namespace", "type", "constant", "delegate")
 DOCUMENTABLE = ("class", "struct", "interface", "trait", "enum", "function", "method", "module", "namespace", "type")
 
@@ -252,3 +255,26 @@ def story_cards(symbols: DataFrame, files: DataFrame) -> DataFrame:
     star = symbols.filter(F.col("reference_score").isNotNull()).agg(F.max_by("name", F.struct("reference_score", "id")).alias("label"))
     star = star.select(F.lit("most_referenced").alias("card"), "label", F.lit(None).cast("double").alias("percent"))
     return top("language", files, "language").unionByName(top("kind", symbols, "kind")).unionByName(top("hotspot", symbols, "file_path")).unionByName(star)
+
+
+def clamp(limit: int, most: int = MOST) -> int:
+    """A request's limit within 1 and the most that is given."""
+    return max(1, min(most, limit))
+
+
+def search_filter(language: str | None = None, kind: str | None = None, file_pattern: str | None = None, no_tests: bool = False) -> Column:
+    """The condition on language (aliases too), kind, path and tests that a search asks for; what isn't given says nothing."""
+    keep = F.lit(True)
+    if language:
+        keep = keep & (F.col("language") == language_alias(language))
+    if kind:
+        keep = keep & (F.col("kind") == kind)
+    if file_pattern:
+        keep = keep & glob(F.col("file_path"), file_pattern)
+    return keep & ~is_test_path(F.col("file_path")) if no_tests else keep
+
+
+def update_where_exists(df: DataFrame, updates: DataFrame, key: str, column: str) -> DataFrame:
+    """``column`` from ``updates`` (key, column; one row per key) where there is such a row, else as it was."""
+    new = updates.select(F.col(key).alias("__k"), F.col(column).alias("__v"), F.lit(True).alias("__there"))
+    return df.join(new, F.col(key) == F.col("__k"), "left").withColumn(column, F.when(F.col("__there"), F.col("__v")).otherwise(F.col(column))).drop("__k", "__v", "__there")

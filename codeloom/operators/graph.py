@@ -33,7 +33,9 @@ def reference_scores(symbols: DataFrame, edges: DataFrame, uses: DataFrame) -> D
     score inherit 0.7 of their best constructor; 4 symbols of test paths keep a tenth; 5 functions of C and C++ without
     score inherit 0.7 of their header's.
     """
-    s = symbols.select("id", "name", "kind", "language", "file_path", "parent_id")
+    ws = Workspace(symbols.sparkSession, "scores")
+    s = ws.cut(symbols.select("id", "name", "kind", "language", "file_path", "parent_id"), "symbols")
+    edges = ws.cut(edges.select("from_id", "to_id", "kind"), "edges")
     direct = edges.filter(F.col("from_id") != F.col("to_id")).groupBy(F.col("to_id").alias("id")).agg(F.sum(_weight(F.col("kind"), EDGE_WEIGHTS, 1.0)).alias("direct"))
     named = uses.filter(F.col("kind").isin(*USE_WEIGHTS)).select("name", "file_path", "kind")
     tail = named.filter(F.instr("name", ".") > 0).withColumn("name", F.expr("substring(name, instr(name, '.') + 1)"))
@@ -42,10 +44,11 @@ def reference_scores(symbols: DataFrame, edges: DataFrame, uses: DataFrame) -> D
     total = counted.groupBy("name").agg(F.sum("w").alias("all"))
     own = counted.groupBy("name", "file_path").agg(F.sum("w").alias("own"))
     boost = s.filter(F.col("kind").isin(*TYPE_KINDS) & ~is_test_path(F.col("file_path"))).join(total, "name").join(own, ["name", "file_path"], "left").select("id", (F.col("all") - F.coalesce("own", F.lit(0.0))).alias("boost"))
-    one = s.join(direct, "id", "left").join(boost, "id", "left").withColumn("score", F.coalesce("direct", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))).drop("direct", "boost")
+    # steps that the next one reads twice are written once
+    one = ws.cut(s.join(direct, "id", "left").join(boost, "id", "left").withColumn("score", F.coalesce("direct", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))).drop("direct", "boost"), "direct")
     base = one.select(F.col("id").alias("to_id"), F.col("score").alias("theirs"))
     up = edges.filter(F.col("kind").isin("implements", "extends")).join(base, "to_id").groupBy(F.col("from_id").alias("id")).agg(F.sum(F.col("theirs") * INHERIT).alias("more"))
-    two = one.join(up, "id", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
+    two = ws.cut(one.join(up, "id", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more"), "inherited")
     best = two.filter(F.col("kind") == "constructor").groupBy(F.col("parent_id").alias("id")).agg(F.max("score").alias("best"))
     three = two.join(best, "id", "left").withColumn("score", F.when(F.col("kind").isin("class", "struct") & (F.col("score") == 0) & F.col("best").isNotNull(), F.col("best") * INHERIT).otherwise(F.col("score"))).drop("best")
     four = three.withColumn("score", F.when(is_test_path(F.col("file_path")), F.col("score") * TEST_FACTOR).otherwise(F.col("score")))

@@ -234,6 +234,14 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, float], queries: list[Quer
     rows = Workspace(spark, "bm25").cut(rows, "lengths")
     stats = rows.groupBy("field").agg(F.count(F.lit(1)).alias("N"), F.avg("len").alias("avg"))
     post = rows.filter(F.size("toks") > 0).select(key, "field", "len", F.explode("toks").alias("term")).groupBy(key, "field", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
+    return score_postings(spark, post, stats, key, fields, queries)
+
+
+def score_postings(spark, post: DataFrame, stats: DataFrame, key: str, fields: dict[str, float], queries: list[Query]) -> DataFrame:
+    """The scores of :func:`bm25` from postings (term, field, key, tf, len) of the queries' terms and the statistics (field, N, avg) of all documents."""
+    terms = sorted({(qi, t, g, w) for qi, q in enumerate(queries) for t, g, w in q.groups()})
+    if not terms:
+        return spark.createDataFrame([], f"query int, `{key}` {dict(post.dtypes)[key]}, score double, mode string")
     df = post.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     need = {qi: len(q.terms) for qi, q in enumerate(queries)}
     qt = spark.createDataFrame([(qi, t, g == "original", float(w), need[qi]) for qi, t, g, w in terms], "query int, term string, original boolean, weight double, need int")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -31,13 +32,31 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local_root[0]
 
 
+#: Open scopes with the workspaces that were made within them.
+_scopes: list[list[Workspace]] = []
+
+
+@contextlib.contextmanager
+def scope():
+    """Intermediate tables of what is planned within go at its end: for the requests of a long-lived session, whose results must be read within."""
+    mine: list[Workspace] = []
+    _scopes.append(mine)
+    try:
+        yield
+    finally:
+        _scopes.remove(mine)
+        for ws in mine:
+            ws.drop(ws.root)
+            atexit.unregister(ws.drop)
+
+
 class Workspace:
     """Intermediate tables of one operator run, written once and read back.
 
     A written table survives the loss of executors, is computed exactly once and is
     columnar, so that a later step reads only the columns it needs. Tables no later
     step reads are removed with :meth:`drop`; what the result still reads stays until
-    the application ends.
+    the application, or the :func:`scope` around it, ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -45,6 +64,8 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
         atexit.register(self.drop, self.root)
+        for scope in _scopes:
+            scope.append(self)
 
     def cut(self, df: DataFrame, name: str = "step") -> DataFrame:
         self._n += 1

@@ -55,7 +55,7 @@ def scan(spark: SparkSession, root: str, glob: str = "*", ignored: tuple[str, ..
     """Text files below a folder: path (relative), language, size, hash, content, line_count, last_modified.
 
     Ignored folders, what the root's ignore files name (see :func:`codeloom.functions.paths.walked`), files above the size, minified names and binary contents are left
-    out; listing and reading are distributed.
+    out; listing and reading are distributed. Empty files hold nothing to index and aren't listed.
     """
     rules = [r for name in IGNORE_FILES for r in paths.ignore_rules(_text(spark, f"{root.rstrip('/')}/{name}") or "")]
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)

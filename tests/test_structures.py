@@ -154,3 +154,49 @@ def test_small_files_of_the_shared_folder(spark):
     write_bytes(spark, "t/one", b"\0\1")
     write_bytes(spark, "t/one", b"\0\1")
     assert read_bytes(spark, "t/one") == b"\0\1" and read_bytes(spark, "t/none") is None
+
+
+def test_postings_give_what_a_scan_gives(spark):
+    from codeloom.operators.postings import Postings
+    from codeloom.operators.search import bm25, parse_query
+
+    rows = [(f"k{i}", "rank quota" if i % 3 else "ledger", "quota " * (i % 5), "clash") for i in range(60)] + [("n", None, "", "clash")]
+    docs = spark.createDataFrame(rows, "key string, title string, body string, term string")
+    fields, asked = {"title": 4.0, "body": 1.0}, [parse_query(q) for q in ("rank quota", "ledger", "nothing", "")]
+    plain = lambda df: sorted((r.query, r.key, round(r.score, 9), r.mode) for r in df.collect())
+    index = Postings(spark, fields).build(docs)
+    assert plain(index.search(asked)) == plain(bm25(docs, "key", fields, asked))
+    new = docs.filter("key < 'k2'").withColumn("title", F.lit("ledger of ranks"))
+    index.upsert(new)
+    index.delete(docs.filter("key > 'k5'"))
+    now = docs.join(new.select("key"), "key", "left_anti").unionByName(new).filter("key <= 'k5'")
+    assert plain(index.search(asked)) == plain(bm25(now, "key", fields, asked))
+    plan = index.search(asked[:1])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters")[1]
+    assert Postings(spark, fields).build(docs.limit(0)).search(asked).count() == 0
+
+
+def test_stream_debouncing_is_that_of_the_batch(spark, tmp_path):
+    import datetime as dt
+
+    from codeloom.streaming import changes as stream
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", "M", t0 + dt.timedelta(milliseconds=m), i) for i, m in enumerate([0, 100, 950, 1050, 3000, 3900, 4950, 9000])] + [("b", "C", t0, 100)]
+    events = spark.createDataFrame(rows, stream.EVENT_SCHEMA)
+    want = sorted(r.seq for r in changes.debounce(events, "path", "ts", 1, ["seq"]).collect())
+    for i in range(3):  # in several micro-batches
+        events.filter(f"seq % 100 >= {i * 3} and seq % 100 < {i * 3 + 3}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream.run(stream.debounced(stream.read_events(spark, str(tmp_path / "in"), 1), 1), lambda b, n: b.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "checkpoint"), "append")
+    assert sorted(r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+
+
+def test_scopes_leave_no_tables(spark, tmp_path):
+    from codeloom.plans.cut import Workspace, scope, shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(__import__("os").listdir(root))
+    with scope():
+        assert Workspace(spark, "scoped").cut(spark.range(3)).count() == 3
+        assert set(__import__("os").listdir(root)) != before
+    assert set(__import__("os").listdir(root)) == before
