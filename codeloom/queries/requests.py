@@ -15,7 +15,7 @@ from codeloom.operators import search as S
 from codeloom.plans.cut import shared_dir, write_bytes
 from codeloom.plans.split import split_prefix
 from codeloom.queries import relations
-from codeloom.queries.base import Area
+from codeloom.queries.base import Area, with_ctes
 from codeloom.queries.operations import _EV, _events
 from codeloom.queries.operations import ORACLES as OPERATIONS
 from codeloom.queries.scalars import _NOT_CODE
@@ -100,6 +100,13 @@ _ENDS = ", ".join(f"CASE WHEN ends_with(x, '{a}') AND length(x) > {len(a)} THEN
 _HEAD = r"CASE WHEN starts_with(x, 'I') AND length(x) > 1 AND regexp_matches(x[2], '\p{Lu}') THEN substr(x, 2) END"
 
 
+_GIVEN = f"list_filter(list_transform(list_concat([x], {_PARTS}, CASE WHEN contains(x, '_') THEN string_split(x, '_') ELSE [] END, [{_AFFIX}, {_HEAD}, {_ENDS}]), lambda t: lower(t)), lambda t: t IS NOT NULL AND t <> '')"
+
+
+#: Of the query in :mod:`codeloom.queries.retrieval`: a segment's tokens in their order, each once.
+_IN_ORDER = f"SELECT id, array_to_string(flatten(list_transform({_SEGS}, lambda x: list_filter({_GIVEN}, lambda t, i: list_position({_GIVEN}, t) = i))), ' ') AS tokens FROM s WHERE signature IS NOT NULL"
+
+
 @query(f"SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(flatten(list_transform({_SEGS}, lambda x: list_concat([x], {_PARTS}, CASE WHEN contains(x, '_') THEN string_split(x, '_') ELSE [] END, [{_AFFIX}, {_HEAD}, {_ENDS}]))), lambda t: lower(t)), lambda t: t IS NOT NULL AND t <> ''))), ' ') AS tokens FROM s WHERE signature IS NOT NULL")
 def f08_f09_f39_f40_distinct_tokens(spark, d):
     """The distinct tokens of each signature with their variants without affixes."""
@@ -254,4 +261,4 @@ def k08_dense_ranks(spark, d):
     return n.join(F.broadcast(top), "n").select("name", "n", "rank")
 
 
-QUERIES, ORACLES = query.QUERIES, query.ORACLES
+QUERIES, ORACLES = query.QUERIES, query.ORACLES | {"f08_f39_f40_code_tokens": with_ctes(_IN_ORDER)}
