@@ -119,7 +119,7 @@ def _any(c: Column, patterns: tuple[str, ...], flags: str) -> Column:
 
 
 def classify(files: DataFrame, key: str = "path", content: str = "content", language: str = "language", keep: tuple[str, ...] = ("workspace_id", "size", "line_count"), version: str = "last_indexed") -> DataFrame:
-    """One row per current file with its layout statistics and ``reason``, null for hand-written files.
+    """One row per current file with its layout statistics, ``reason``, null for hand-written files, and ``by_layout``, what the statistics alone say.
 
     Reasons, the first that holds: lock (a lock file by name), minified (long lines with little white space), encoded (long runs of letters
     and digits make up the text), data (numeric literals make up the tokens), vendored (a library's folder, or its notice at the head), generated (a tool's
@@ -143,5 +143,6 @@ def classify(files: DataFrame, key: str = "path", content: str = "content", lang
     path = F.col(key)
     vendored = path.rlike(VENDOR_FOLDERS) | _any(F.col("__lead"), NOTICES, "(?im)")
     made = path.rlike(GENERATED_FOLDERS) | path.rlike(GENERATED_NAMES) | _any(F.col("__lead"), BANNERS, "(?i)")
+    by_layout = F.when(minified, "minified").when(encoded, "encoded").when(data, "data")
     reason = F.when(path.rlike(LOCK_NAMES), "lock").when(minified | path.rlike(MINIFIED_NAMES), "minified").when(encoded, "encoded").when(data, "data").when(vendored, "vendored").when(made, "generated")
-    return rows.select(key, *keep, language, "chars", "lines", "max_line", *[F.round(c, 6).alias(c) for c in ("mean_line", "space_share", "alnum_share", "number_density", "encoded_share")], reason.alias("reason"))
+    return rows.select(key, *keep, language, "chars", "lines", "max_line", *[F.round(c, 6).alias(c) for c in ("mean_line", "space_share", "alnum_share", "number_density", "encoded_share")], reason.alias("reason"), by_layout.alias("by_layout"))
